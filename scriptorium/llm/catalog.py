@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from . import q_chat, q_url_filters
+from .q_chat import op9_chat_formatting
+from .q_media import op10_media_columns
 from .q_token_counts import op5_token_counts
+from .q_url_filters import op7_url_filters
 
 
 def queries():
     return {
         "op5_token_counts": op5_token_counts,
+        "op7_url_filters": op7_url_filters,
+        "op9_chat_formatting": op9_chat_formatting,
+        "op10_media_columns": op10_media_columns,
     }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op7_url_filters": q_url_filters.ORACLE,
+        "op9_chat_formatting": q_chat.ORACLE,
+    }
