@@ -6,6 +6,7 @@ from . import q_chat, q_url_filters
 from .q_chat import op9_chat_formatting
 from .q_media import op10_media_columns
 from .q_packing import op2_packing
+from .q_quality import op4_quality_classifier
 from .q_token_counts import op5_token_counts
 from .q_url_filters import op7_url_filters
 
@@ -13,6 +14,7 @@ from .q_url_filters import op7_url_filters
 def queries():
     return {
         "op2_packing": op2_packing,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_token_counts": op5_token_counts,
         "op7_url_filters": op7_url_filters,
         "op9_chat_formatting": op9_chat_formatting,
