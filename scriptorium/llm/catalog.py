@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import q_chat, q_url_filters
 from .q_chat import op9_chat_formatting
+from .q_jaccard import op3_ngram_jaccard_join
 from .q_media import op10_media_columns
 from .q_packing import op2_packing
 from .q_quality import op4_quality_classifier
@@ -14,6 +15,7 @@ from .q_url_filters import op7_url_filters
 def queries():
     return {
         "op2_packing": op2_packing,
+        "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_token_counts": op5_token_counts,
         "op7_url_filters": op7_url_filters,
