@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import q_chat, q_url_filters
 from .q_chat import op9_chat_formatting
+from .q_fingerprints import op8_document_fingerprints
 from .q_jaccard import op3_ngram_jaccard_join
 from .q_media import op10_media_columns
 from .q_packing import op2_packing
@@ -19,6 +20,7 @@ def queries():
         "op4_quality_classifier": op4_quality_classifier,
         "op5_token_counts": op5_token_counts,
         "op7_url_filters": op7_url_filters,
+        "op8_document_fingerprints": op8_document_fingerprints,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_media_columns": op10_media_columns,
     }
