@@ -9,6 +9,7 @@ from .q_jaccard import op3_ngram_jaccard_join
 from .q_media import op10_media_columns
 from .q_packing import op2_packing
 from .q_quality import op4_quality_classifier
+from .q_suffix_dedup import op6_suffix_dedup
 from .q_token_counts import op5_token_counts
 from .q_url_filters import op7_url_filters
 
@@ -19,6 +20,7 @@ def queries():
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_token_counts": op5_token_counts,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_url_filters": op7_url_filters,
         "op8_document_fingerprints": op8_document_fingerprints,
         "op9_chat_formatting": op9_chat_formatting,

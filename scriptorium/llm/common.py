@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -49,12 +50,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes a table of ``written`` that no later step reads, and lets Spark free unreachable shuffles."""
+    for path in df.inputFiles()[:1]:
+        _remove(df.sparkSession, path.rsplit("/", 1)[0])
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
     def remove() -> None:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark, path)
         except Exception:  # the session is gone; the folder belongs to the cluster's own clean-up
             pass
 
