@@ -7,6 +7,7 @@ from .q_chat import op9_chat_formatting
 from .q_fingerprints import op8_document_fingerprints
 from .q_jaccard import op3_ngram_jaccard_join
 from .q_media import op10_media_columns
+from .q_mixing import op1_mixing
 from .q_packing import op2_packing
 from .q_quality import op4_quality_classifier
 from .q_suffix_dedup import op6_suffix_dedup
@@ -16,6 +17,7 @@ from .q_url_filters import op7_url_filters
 
 def queries():
     return {
+        "op1_mixing": op1_mixing,
         "op2_packing": op2_packing,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_quality_classifier": op4_quality_classifier,

@@ -68,6 +68,11 @@ class Features:
             self.hashes[k] = xxhash.xxh64_intdigest(w.encode()), xxhash.xxh64_intdigest(word_shape(w).encode(), 1)
         return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
+    def word_indices(self, text: str | None) -> np.ndarray:
+        """Weight indices of the single words."""
+        words = (text or "").split()
+        return (self.hashes[self._place(words), 0] >> self.shift).astype(np.int64) if words else np.zeros(0, np.int64)
+
     def indices(self, text: str | None) -> tuple[np.ndarray, int]:
         """Weight indices of all features, with repetition, and the number of words."""
         words = (text or "").split()
