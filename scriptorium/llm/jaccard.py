@@ -4,14 +4,15 @@ The join is a sparse matrix product of the document by n-gram incidence with its
 done in blocks and with everything left out that a size-derived bound rules out:
 
 1. Each document becomes its set of hashed word n-grams.  Equal sets collapse to one row
-   (a *set*); n-grams in very many documents are found (a bounded list).
-2. With the n-grams of a set in one global order, rare ones first, two sets that are
-   similar enough share one of the first ``n - ceil(t n) + 1``.  Only these *postings*
-   enter the product, dealt by n-gram and by band of set size (sizes further apart than
-   the threshold never meet).
-3. In blocks with many sets, each set first meets a few pivots only; the links found
-   join most of a large group of copies, and what is already in one class needs no more
-   pairs.  Then all pairs of a block whose classes differ are taken, so no link between
+   (a *set*); n-grams in very many documents and common words are found (bounded lists).
+2. With the n-grams of a set in one global order, two sets that are similar enough share
+   one of the first ``n - ceil(t n) + 1``.  Only these *postings* enter the product, dealt
+   by n-gram and by band of set size (sizes further apart than the threshold never meet).
+   The order puts n-grams of rare words first and listed ones last: how likely unrelated
+   texts are to share an n-gram follows from its words, whatever the size of the corpus.
+3. In blocks with many sets, each set first meets a few pivots only, those in which the
+   block's n-gram comes earliest (they have least of their own); the links found join
+   most of a large group of copies, and what is already in one class needs no more pairs.  Then all pairs of a block whose classes differ are taken, so no link between
    classes is lost, and a group of copies never emits all its pairs.
 4. Pairs pass a positional bound, then a bound from folded bitmaps (the symmetric
    difference is at least the number of differing bits), and what is left is verified
@@ -40,6 +41,8 @@ from .components import connected_components
 
 #: n-grams listed as frequent, and the count in a run of documents from which one is a candidate
 FREQUENT, FREQUENT_IN_RUN = 1 << 17, 6
+#: the same for common words
+COMMON, COMMON_IN_RUN = 1 << 17, 8
 #: sets in a block from which pivots come first, and how many pivots
 LARGE_BLOCK, PIVOTS = 48, 2
 MIX = np.uint64(0x9E3779B97F4A7C15)  # an odd constant: 2^64 over the golden ratio
@@ -70,36 +73,55 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sets of hashed word n-grams; remembers word hashes in a bounded table."""
+    """Sets of hashed word n-grams; remembers word hashes in a bounded table.
 
-    def __init__(self, words: int, seed: int = 0, remembered: int = 400_000):
-        self.words, self.seed, self.most = words, seed, remembered
-        self.known: dict[bytes, int] = {}
+    ``common`` (sorted word hashes and their costs) gives each n-gram the sum of its words' costs.
+    """
+
+    def __init__(self, words: int, seed: int = 0, common: tuple[np.ndarray, np.ndarray] | None = None, remembered: int = 400_000):
+        self.words, self.seed, self.most, self.common = words, seed, remembered, common
+        self._clear(remembered)
+
+    def _clear(self, room: int) -> None:
+        self.at: dict[bytes, int] = {}
+        self.hashes, self.costs = np.zeros(room, np.uint64), np.zeros(room, np.int64)
 
-    def _hashes(self, words: list[bytes]) -> np.ndarray:
+    def _place(self, words: list[bytes]) -> np.ndarray:
         try:
-            return np.array(list(map(self.known.__getitem__, words)), np.uint64)
+            return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         except KeyError:
             pass
-        if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w, self.seed)
-        return np.array(list(map(known.__getitem__, words)), np.uint64)
-
-    def shingles(self, text: str | None) -> np.ndarray:
-        """The distinct shingle hashes, sorted."""
+        new = [w for w in dict.fromkeys(words) if w not in self.at]
+        if len(self.at) + len(new) > len(self.hashes):
+            new = list(dict.fromkeys(words))
+            self._clear(max(self.most, len(new)))
+        first = len(self.at)
+        for i, w in enumerate(new, first):
+            self.at[w] = i
+            self.hashes[i] = xxhash.xxh64_intdigest(w, self.seed)
+        if self.common is not None and len(self.common[0]):
+            h, (keys, costs) = self.hashes[first : first + len(new)], self.common
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            self.costs[first : first + len(new)] = np.where(keys[at] == h, costs[at], 0)
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+
+    def grams(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(n-gram hashes in order of the text, their costs, word hashes)."""
         words = (text or "").encode().lower().split()
         if not words:
-            return np.zeros(0, np.uint64)
-        h = self._hashes(words)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        at = self._place(words)
+        h, c = self.hashes[at], self.costs[at]
         k = min(self.words, len(h))
-        out = h[: len(h) - k + 1] * MIX + np.uint64(k)
+        n = len(h) - k + 1
+        out, cost = h[:n] * MIX + np.uint64(k), c[:n]
         for i in range(1, k):
-            out = _mixed(out) + h[i : len(h) - k + 1 + i]
-        return np.unique(_mixed(out))
+            out, cost = _mixed(out) + h[i : n + i], cost + c[i : n + i]
+        return _mixed(out), cost, h
+
+    def shingles(self, text: str | None) -> np.ndarray:
+        """The distinct shingle hashes, sorted."""
+        return np.unique(self.grams(text)[0])
 
 
 def digest(hashes: np.ndarray, seed: int) -> int:
@@ -125,34 +147,38 @@ def differing_bits(a: bytes, b: bytes) -> int:
 
 
 def _describe(rule: Rule, seed: int):
-    """Texts to set descriptions, and the n-grams that are frequent in a run of documents (n = -1)."""
+    """Texts to set descriptions, and the n-grams (n = -1) and words (n = -2) that are frequent in a run of documents."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, run, held = Shingler(rule.words, seed), [], 0
+        shingler, run, words, held = Shingler(rule.words, seed), [], [], 0
         names = ["doc", "n", "set_id", "proof", "bits"]
 
-        def frequent() -> pa.RecordBatch:
-            grams, counts = np.unique(np.concatenate(run), return_counts=True) if run else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            grams, counts = grams[counts >= FREQUENT_IN_RUN], counts[counts >= FREQUENT_IN_RUN]
-            none = pa.nulls(len(grams), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(np.full(len(grams), -1)), pa.array(grams.view(np.int64)), pa.array(counts), pa.nulls(len(grams), pa.binary())], names)
+        def frequent(hashes: list[np.ndarray], least: int, kind: int) -> pa.RecordBatch:
+            found, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_counts=True)
+            found, counts = found[counts >= least], counts[counts >= least]
+            none = pa.nulls(len(found), pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.array(np.full(len(found), kind)), pa.array(found.view(np.int64)), pa.array(counts), pa.nulls(len(found), pa.binary())], names)
 
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingler.shingles(text)
+                grams, _, h = shingler.grams(text)
+                s = np.unique(grams)
                 if len(s):
+                    words.append(h)
                     rows.append((doc, len(s), digest(s, seed), digest(s, seed + 1), bitmap(s)))
                     run.append(s)
                     held += len(s)
                 else:
                     rows.append((doc, 0, None, None, None))
                 if held > 6_000_000:
-                    yield frequent()
-                    run, held = [], 0
+                    yield frequent(run, FREQUENT_IN_RUN, -1)
+                    yield frequent(words, COMMON_IN_RUN, -2)
+                    run, words, held = [], [], 0
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
-        yield frequent()
+        yield frequent(run, FREQUENT_IN_RUN, -1)
+        yield frequent(words, COMMON_IN_RUN, -2)
 
     return described
 
@@ -161,14 +187,16 @@ def _postings(rule: Rule, seed: int, frequent):
     """Texts to (gram, set_id, n, pos) for the first n-grams of each set in the global order."""
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(rule.words, seed), set()
-        grams, ranks = frequent.value  # sorted, with the rank of each (rarer first, from 1)
+        grams, ranks, words, costs = frequent.value  # sorted, with the rank of each (rarer first, from 1)
+        shingler, seen = Shingler(rule.words, seed, (words, costs)), set()
         for b in batches:
             parts = []
             for text in b.column(0).to_pylist():
-                s = shingler.shingles(text)
+                s, cost, _ = shingler.grams(text)
                 if not len(s):
                     continue
+                s, first = np.unique(s, return_index=True)
+                cost = cost[first]
                 name = digest(s, seed)
                 if name in seen:
                     continue
@@ -176,7 +204,8 @@ def _postings(rule: Rule, seed: int, frequent):
                     seen.add(name)
                 if len(grams):
                     at = np.minimum(np.searchsorted(grams, s), len(grams) - 1)
-                    s = s[np.argsort(np.where(grams[at] == s, ranks[at], 0), kind="stable")]
+                    cost = cost + np.where(grams[at] == s, ranks[at] << 32, 0)
+                s = s[np.argsort(cost, kind="stable")]  # of equal cost in order of hash
                 first = s[: rule.prefix(len(s))]
                 parts.append((first, np.full(len(first), name), np.full(len(first), len(s)), np.arange(len(first))))
             columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3]
@@ -249,13 +278,21 @@ class _Join:
             if self.sets.filter("p != q").isEmpty():
                 break
         self.sets = self.sets.drop("p", "q")
-        counted = described.filter("n = -1").groupBy("set_id").agg(F.sum("proof").alias("c"))
-        found = counted.orderBy(F.desc("c"), "set_id").limit(FREQUENT).toArrow()  # at most FREQUENT rows
-        grams, counts = found["set_id"].to_numpy().view(np.uint64), found["c"].to_numpy()
-        ranks = np.empty(len(grams), np.int64)
-        ranks[np.lexsort((grams, counts))] = np.arange(1, len(grams) + 1)
-        by_gram = np.argsort(grams)
-        self.frequent = docs.sparkSession.sparkContext.broadcast((grams[by_gram], ranks[by_gram]))
+        grams, ranks = self._most(described.filter("n = -1"), FREQUENT)
+        words, counts = self._most(described.filter("n = -2"), COMMON)
+        # a word's cost: its frequency on a log scale, in steps of a quarter of a doubling
+        costs = np.round(4 * np.log2(np.maximum(counts, 1))).astype(np.int64)
+        by_count = np.empty(len(grams), np.int64)
+        by_count[np.lexsort((grams, ranks))] = np.arange(1, len(grams) + 1)
+        self.frequent = docs.sparkSession.sparkContext.broadcast((grams, by_count, words, costs))
+
+    @staticmethod
+    def _most(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``most`` highest counts at most, in order of hash."""
+        found = counted.groupBy("set_id").agg(F.sum("proof").alias("c")).orderBy(F.desc("c"), "set_id").limit(most).toArrow()
+        hashes, counts = found["set_id"].to_numpy().view(np.uint64), found["c"].to_numpy()
+        order = np.argsort(hashes)
+        return hashes[order], counts[order]
 
     def postings(self) -> DataFrame:
         """The first n-grams of each set, where at least two sets have them."""
@@ -295,7 +332,7 @@ class _Join:
         blocks = postings.withColumn("block", F.explode(F.array("band", F.expr("band - 1"))))
         sizes = blocks.groupBy("gram", "block").agg(
             F.count("*").alias("sets"),
-            *[F.min_by(F.struct("set_id", "n", "pos"), F.xxhash64(F.lit(r), "set_id")).alias(f"p{r}") for r in range(PIVOTS)],
+            *[F.min_by(F.struct("set_id", "n", "pos"), F.struct("pos", F.xxhash64(F.lit(r), "set_id"))).alias(f"p{r}") for r in range(PIVOTS)],
         )
         large = sizes.filter(F.col("sets") >= LARGE_BLOCK)
         met = blocks.alias("x").join(large.select("gram", "block", F.explode(F.array(*[f"p{r}" for r in range(PIVOTS)])).alias("y")), ["gram", "block"])
