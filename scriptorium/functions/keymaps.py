@@ -86,7 +86,11 @@ def decode_tied(text: Column, maps: Sequence[Sequence[Rule]]) -> Column:
         return decode(text, maps[0])
     cls = "".join(f"\\x{{{ord(c):X}}}" for c in unsure)
     pieces = F.regexp_extract_all(text, F.lit(f"[{cls}]+|[^{cls}]+"), F.lit(0))
-    read = [F.array_join(F.transform(pieces, lambda p, m=m: F.when(p.rlike(f"^[{cls}]"), p).otherwise(decode(p, m))), "") for m in maps]
+
+    def reading(rules: Sequence[Rule]) -> Column:
+        return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^[{cls}]"), p).otherwise(decode(p, rules))), "")
+
+    read = [reading(m) for m in maps]
     same = F.lit(True)
     for other in read[1:]:
         same = same & (other == read[0])
