@@ -31,6 +31,7 @@ rows repeat each other; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -45,7 +46,9 @@ from .common import dropped, written
 
 GRAM = 32
 #: windows in a batch that gets a suffix array, and surroundings from which a k-gram is counted instead
-BATCH_WINDOWS, CROWDED = 60_000, 8192
+BATCH_WINDOWS, CROWDED = 40_000, 4096
+#: surroundings dealt to a task (about 75 windows each), which bounds its index family
+JUDGED_TOGETHER = 4000
 MIX = 0x9E3779B97F4A7C15  # an odd constant: 2^64 over the golden ratio
 _BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64)
 KEY_BITS = 25
@@ -296,7 +299,8 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     # a row that is repeated lends its windows again, which changes nothing: all of them repeat
     cut = packed.join(wanted, ["doc", "tag"]).select("doc", "tag", "packed", "wanted")
     around = written(cut.mapInArrow(_surroundings(length), "gram long, single boolean, crowded boolean, doc long, tag long, first long, text binary"), "around")
-    spans.append(around.filter("NOT crowded").repartition("gram").mapInArrow(_judged(length), SPAN_SCHEMA))
+    tasks = max(1, math.ceil(around.count() / JUDGED_TOGETHER))
+    spans.append(around.filter("NOT crowded").repartition(tasks, "gram").mapInArrow(_judged(length), SPAN_SCHEMA))
     counted = around.filter("crowded").mapInArrow(_window_digests(length), "high long, low long, doc long, tag long, start long")
     often = counted.groupBy("high", "low").agg(F.count("*").alias("n")).filter("n > 1").select("high", "low")
     spans.append(counted.join(often, ["high", "low"]).select("doc", "tag", "start", (F.col("start") + length).alias("stop")))
