@@ -39,8 +39,9 @@ from pyspark.sql import functions as F
 from .common import checkpointed, written
 from .components import connected_components
 
-#: n-grams listed as frequent, and the count in a run of documents from which one is a candidate
-FREQUENT, FREQUENT_IN_RUN = 1 << 17, 6
+#: n-grams listed as frequent, and the count in a run of documents from which one is a candidate;
+#: an n-gram seen in less than a share of the places of its rarest word needs no listing
+FREQUENT, FREQUENT_IN_RUN, OF_RAREST = 1 << 18, 3, 0.2
 #: the same for common words
 COMMON, COMMON_IN_RUN = 1 << 17, 8
 #: sets in a block from which pivots come first, and how many pivots
@@ -150,21 +151,33 @@ def _describe(rule: Rule, seed: int):
     """Texts to set descriptions, and the n-grams (n = -1) and words (n = -2) that are frequent in a run of documents."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, run, words, held = Shingler(rule.words, seed), [], [], 0
+        shingler, held, sum_words = Shingler(rule.words, seed), 0, 0
+        run, words, places = [], [], []  # distinct n-grams of each text, its words, and where in the run the n-grams stand
         names = ["doc", "n", "set_id", "proof", "bits"]
 
-        def frequent(hashes: list[np.ndarray], least: int, kind: int) -> pa.RecordBatch:
-            found, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_counts=True)
-            found, counts = found[counts >= least], counts[counts >= least]
-            none = pa.nulls(len(found), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(np.full(len(found), kind)), pa.array(found.view(np.int64)), pa.array(counts), pa.nulls(len(found), pa.binary())], names)
+        def row(hashes: np.ndarray, counts: np.ndarray, kind: int) -> pa.RecordBatch:
+            none = pa.nulls(len(hashes), pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.array(np.full(len(hashes), kind)), pa.array(hashes.view(np.int64)), pa.array(counts), pa.nulls(len(hashes), pa.binary())], names)
+
+        def frequent() -> Iterator[pa.RecordBatch]:
+            if not run:
+                return
+            found, at, counts = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+            yield row(found[counts >= COMMON_IN_RUN], counts[counts >= COMMON_IN_RUN], -2)
+            rarest = np.append(counts[at], np.full(rule.words, np.iinfo(np.int64).max))
+            rarest = np.min([rarest[i : len(at) + i] for i in range(rule.words)], axis=0)
+            grams, first, counts = np.unique(np.concatenate(run), return_index=True, return_counts=True)
+            listed = (counts >= FREQUENT_IN_RUN) & (counts >= OF_RAREST * rarest[np.concatenate(places)[first]])
+            yield row(grams[listed], counts[listed], -1)
 
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 grams, _, h = shingler.grams(text)
-                s = np.unique(grams)
+                s, first = np.unique(grams, return_index=True)
                 if len(s):
+                    places.append(first + sum_words)
+                    sum_words += len(h)
                     words.append(h)
                     rows.append((doc, len(s), digest(s, seed), digest(s, seed + 1), bitmap(s)))
                     run.append(s)
@@ -172,13 +185,11 @@ def _describe(rule: Rule, seed: int):
                 else:
                     rows.append((doc, 0, None, None, None))
                 if held > 6_000_000:
-                    yield frequent(run, FREQUENT_IN_RUN, -1)
-                    yield frequent(words, COMMON_IN_RUN, -2)
-                    run, words, held = [], [], 0
+                    yield from frequent()
+                    run, words, places, held, sum_words = [], [], [], 0, 0
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
-        yield frequent(run, FREQUENT_IN_RUN, -1)
-        yield frequent(words, COMMON_IN_RUN, -2)
+        yield from frequent()
 
     return described
 
