@@ -12,7 +12,7 @@ QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 def value(x):
     if x is None or (isinstance(x, float) and math.isnan(x)):
         return None
-    return float(f"{x:.9g}") if isinstance(x, float) else str(x)
+    return f"{float(x):.9g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
 
 def rows(df):
