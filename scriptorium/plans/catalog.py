@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import layout_queries, metric_queries, table_queries
+from . import font_queries, layout_queries, metric_queries, table_queries
 
-MODULES = [metric_queries, layout_queries, table_queries]
+MODULES = [metric_queries, layout_queries, table_queries, font_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -162,3 +162,38 @@ def test_streamed_texts_get_signals(spark, tmp_path):
     texts = transcripts.stream_texts(spark, str(tmp_path / "in"))
     transcripts.per_batch(texts, transcripts.with_signals, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert [r.chars for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [7]
+
+
+def test_cmaps_parse_build_and_patch(spark):
+    from scriptorium.operators import cmaps
+
+    stream = "2 beginbfchar\n<0001> <0915>\n<0002> <0924094D0930>\nendbfchar\n2 beginbfrange\n<0005> <0007> <0061>\n<0008> <000A> [<0041> <00420043>]\nendbfrange\n1 beginbfchar\n<0001> <0916>\nendbfchar"
+    df = spark.createDataFrame([("f", stream)], "font string, cmap string")
+    parsed = cmaps.parse_cmaps(df, "cmap", ["font"])
+    want = {1: "ख", 2: "त्र", 5: "a", 6: "b", 7: "c", 8: "A", 9: "BC"}
+    assert {r.gid: r.text for r in parsed.collect()} == want
+    assert {r.gid: r.text for r in cmaps.parse_cmaps(cmaps.build_cmaps(parsed, ["font"]), "cmap", ["font"]).collect()} == want
+    right = spark.createDataFrame([("f", 1, "ि"), ("f", 2, "तर्"), ("f", 5, "र्"), ("f", 20, "ग")], "font string, gid int, text string")
+    fixed = {r.gid: r.text for r in cmaps.patch_maps(parsed, right, ["font"]).collect()}
+    assert fixed == want | {1: "", 5: "", 20: "ग"}
+    assert cmaps.meaningful_differences(parsed, right, ["font"]).first().differences == 2
+
+
+def test_ligatures_close(spark):
+    from scriptorium.operators import cmaps
+
+    known = spark.createDataFrame([("f", 1, "a"), ("f", 2, "b")], "font string, glyph int, text string")
+    rules = spark.createDataFrame([("f", 0, 10, [1, 2]), ("f", 1, 11, [10, 1]), ("f", 2, 12, [11, 99])], "font string, rule int, glyph int, components array<int>")
+    assert {r.glyph: r.text for r in cmaps.ligature_closure(known, rules).collect()} == {1: "a", 2: "b", 10: "ab", 11: "aba"}
+
+
+def test_decision_rows_and_subjects(spark):
+    from scriptorium.operators import transcribed
+
+    text = ["heading", "1. A ministry  gets स्वीकृति", "more of the name", "2) B ministry  may गर्ने", "", "३। C ministry", "will be खारेज"]
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)] + [(2, 0, "1. X  गर्ने")], "doc_id long, ord int, text string")
+    rows = transcribed.decision_rows(lines)
+    assert [(r.serial, r.ministry, r.decision) for r in rows.orderBy("row").collect()] == [("1.", "A ministry more of the name", "gets स्वीकृति"), ("2)", "B ministry", "may गर्ने"), ("३।", "C ministry", "will be खारेज")]
+    assert "| 2. | B ministry | may गर्ने |" in transcribed.decision_table(rows).first().markdown
+    f = spark.createDataFrame([("Re: a thing. And more", 4, 5.0), ("plain", 5, None)], "text string, line_number int, gap_before double")
+    assert [(r.text, r.line_number, r.gap_before) for r in transcribed.split_inline_subjects(f).collect()] == [("Re: a thing.", 4, 5.0), ("And more", 5, 0.0), ("plain", 5, None)]
