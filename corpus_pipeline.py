@@ -14,7 +14,6 @@ from scriptorium.llm.common import table, written
 from scriptorium.llm.jaccard import Rule, near_duplicate_classes
 from scriptorium.llm.mixing import Mixer, copies, fit_domains, tempered
 from scriptorium.llm.packing import pack
-from scriptorium.llm.q_mixing import labelled_documents
 from scriptorium.llm.q_quality import THRESHOLD, scored_documents
 from scriptorium.llm.suffix_dedup import dedupe_substrings
 
@@ -57,7 +56,7 @@ def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents so that the languages' token totals meet tempered targets."""
-    model = fit_domains(labelled_documents(docs, table(spark, sf_dir, "labels")), "doc_id", "text", "lang")
+    model = fit_domains(docs, "doc_id", "text", "lang", table(spark, sf_dir, "labels"))
     mixer = Mixer(docs, model, least_rate=1.0).fit(tempered(TEMPER))
     times = copies(F.col("rate"), F.col("doc_id"))
     return mixer.rated().withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).select(*[f"`{c}`" for c in docs.columns])

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,33 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(remove)
 
 
+_held: dict = {}
+
+
+def worker_state(key, make):
+    """What an operator remembers between the tasks of one Python worker.
+
+    A worker remembers for one operator at a time: the next one's state takes its place,
+    so reused workers do not pile up the tables of all operators that have run in them.
+    """
+    if key not in _held:
+        if _held:
+            _held.clear()
+            _give_back()
+        _held[key] = make()
+    return _held[key]
+
+
+def _give_back() -> None:
+    """Returns freed memory of this process to the machine, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

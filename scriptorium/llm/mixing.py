@@ -25,12 +25,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
-from .quality import Features
+from .common import worker_state, written
 
 #: most labelled documents to learn from, and most domains
 SAMPLE, MOST_DOMAINS = 4096, 64
@@ -38,16 +38,38 @@ BITS = 16
 EPOCHS, RATE = 6, 0.5
 
 
+class Words:
+    """Weight index of each word, remembered in a bounded table."""
+
+    def __init__(self, bits: int = BITS, remembered: int = 500_000):
+        self.shift, self.most = 64 - bits, remembered
+        self.at: dict[str, int] = {}
+
+    def indices(self, text: str | None) -> np.ndarray:
+        words = (text or "").split()
+        try:
+            return np.array(list(map(self.at.__getitem__, words)), np.int64)
+        except KeyError:
+            pass
+        if len(self.at) > self.most:
+            self.at = {}
+        for w in set(words).difference(self.at):
+            self.at[w] = xxhash.xxh64_intdigest(w) >> self.shift
+        return np.array(list(map(self.at.__getitem__, words)), np.int64)
+
+
 class DomainModel:
     """Softmax weights: one row per hashed word, the last for the bias."""
 
     def __init__(self, domains: list[str], weights: np.ndarray):
         self.domains, self.weights = domains, weights
 
-    def posterior(self, features: Features, text: str | None) -> tuple[int, np.ndarray]:
+    def posterior(self, words: Words, text: str | None) -> tuple[int, np.ndarray]:
         """(words, P(domain | text))."""
-        at = features.word_indices(text)
-        z = self.weights[-1] + (self.weights[at].sum(axis=0, dtype=np.float64) / len(at) if len(at) else 0.0)
+        at = words.indices(text)
+        z = self.weights[-1].astype(np.float64)
+        if len(at):
+            z = z + np.full(len(at), 1.0 / len(at)) @ self.weights[at].astype(np.float64)
         e = np.exp(z - z.max())
         return len(at), e / e.sum()
 
@@ -69,17 +91,22 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], domains: int, bits
     return w.astype(np.float32)
 
 
-def fit_domains(labelled: DataFrame, key: str, text: str, domain: str, most: int = SAMPLE, bits: int = BITS) -> DomainModel:
-    """Learns from at most ``most`` rows of ``labelled``, the first by a hash of their key."""
-    rows = labelled.select(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{domain}`")).alias("o"), F.col(f"`{key}`").alias("k"), F.col(f"`{domain}`").cast("string").alias("d"))
+def fit_domains(docs: DataFrame, key: str, text: str, domain: str, labelled: DataFrame | None = None, most: int = SAMPLE, bits: int = BITS) -> DomainModel:
+    """Learns from at most ``most`` rows of ``docs``, the first by a hash of their key.
+
+    ``labelled`` is a table whose keys say which rows' domains are known; without it all are.
+    """
+    rows = docs.select(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{domain}`")).alias("o"), F.col(f"`{key}`").alias("k"), F.col(f"`{domain}`").cast("string").alias("d"))
+    if labelled is not None:  # keys and domains only: no text is moved for this
+        rows = rows.join(labelled.select(F.col(f"`{key}`").alias("k")), "k", "left_semi")
     chosen = rows.filter("d IS NOT NULL AND k IS NOT NULL").orderBy("o", "k").limit(most).distinct()
-    sample = labelled.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(F.broadcast(chosen), "k")  # at most ``most`` short rows
+    sample = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(F.broadcast(chosen), "k")  # at most ``most`` short rows
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Features(bits)
+        words = Words(bits)
         for b in batches:
             for order, t, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                at = hashed.word_indices(t)
+                at = words.indices(t)
                 at, counts = np.unique(at, return_counts=True)
                 row = [order, at.astype(np.int32).tobytes(), (counts / max(1, counts.sum())).astype(np.float32).tobytes(), d]
                 yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], ["o", "at", "values", "d"])
@@ -106,22 +133,33 @@ def _rates(tokens: np.ndarray, posteriors: np.ndarray, steps: list[np.ndarray],
 
 
 class Mixer:
-    """Fits rates over ``df`` and applies them."""
+    """Fits rates over ``df`` and applies them; texts are read once.
 
-    def __init__(self, df: DataFrame, model: DomainModel, text: str = "text", least_rate: float = 0.0):
-        self.df, self.text, self.least = df, text, least_rate
+    ``keep`` names the columns that ``rated`` returns (all of ``df`` by default): they are
+    written with the posteriors, and steps read only the posteriors.
+    """
+
+    def __init__(self, df: DataFrame, model: DomainModel, text: str = "text", least_rate: float = 0.0, keep: list[str] | None = None):
+        self.least = least_rate
         self.domains = model.domains
-        self.model = df.sparkSession.sparkContext.broadcast(model)  # at most (2^BITS + 1) x MOST_DOMAINS floats
         self.steps: list[np.ndarray] = []
-        shared = self.model
+        shared = df.sparkSession.sparkContext.broadcast(model)  # at most (2^BITS + 1) x MOST_DOMAINS floats
+        added = ["tokens", "posterior"]
+        self.keep = [c for c in (df.columns if keep is None else keep) if c not in [*added, "rate"]]
+        rest = self.keep + ([] if text in self.keep else [text])
+        at = rest.index(text)
+        schema = T.StructType([df.schema[c] for c in self.keep] + [T.StructField("tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])
+        kept = len(self.keep)
 
         def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            features = Features(BITS)
+            words, model = worker_state(("domains", BITS), lambda: Words(BITS)), shared.value
             for b in batches:
-                found = [shared.value.posterior(features, t) for t in b.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([p.tolist() for _, p in found], pa.list_(pa.float64()))], ["tokens", "posterior"])
+                found = [model.posterior(words, t) for t in b.column(at).to_pylist()]
+                columns = [pa.array([n for n, _ in found], pa.int64()), pa.array([p.tolist() for _, p in found], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:kept], *columns], [*b.schema.names[:kept], *added])
 
-        self.narrow = written(df.select(F.col(f"`{text}`")).mapInArrow(described, "tokens long, posterior array<double>"), "posteriors")
+        self.described = written(df.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(described, schema), "posteriors")
+        self.narrow = self.described.select("tokens", "posterior")
 
     def totals(self) -> np.ndarray:
         """Expected tokens of each domain at the present rates: one distributed sum."""
@@ -161,22 +199,14 @@ class Mixer:
         return self
 
     def rated(self) -> DataFrame:
-        """``df`` with tokens, posterior and rate."""
-        shared, steps, least, text = self.model, self.steps, self.least, self.text
-        added = ["tokens", "posterior", "rate"]
-        rest = [c for c in self.df.columns if c not in added]
-        at = rest.index(text)
-        schema = T.StructType([self.df.schema[c] for c in rest] + [T.StructField("tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType())), T.StructField("rate", T.DoubleType())])
+        """The kept columns with tokens, posterior and rate: the steps taken, as an expression over the posterior."""
+        steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in self.steps]).cast("array<array<double>>")
 
-        def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            features, model = Features(BITS), shared.value
-            for b in batches:
-                found = [model.posterior(features, t) for t in b.column(at).to_pylist()]
-                tokens, p = np.array([n for n, _ in found], float), np.array([q for _, q in found]).reshape(-1, len(model.domains))
-                rates = _rates(tokens, p, steps, least)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens.astype(np.int64)), pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(rates)], [*b.schema.names, *added])
+        def step(rate: Column, g: Column) -> Column:
+            moved = F.aggregate(F.zip_with("posterior", g, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
+            return F.greatest(F.lit(float(self.least)), rate - moved)
 
-        return self.df.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(rate, schema)
+        return self.described.withColumn("rate", F.aggregate(steps, F.lit(max(1.0, self.least)), step))
 
 
 def copies(rate: Column, key: Column, seed: int = 7) -> Column:

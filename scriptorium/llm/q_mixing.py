@@ -11,14 +11,10 @@ from .mixing import Mixer, copies, fit_domains, weights_of_total
 WEIGHTS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the labels table covers: their languages count as known."""
-    return docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-
-
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = fit_domains(labelled_documents(docs, table(spark, sf_dir, "labels")), "doc_id", "text", "lang")
-    mixer = Mixer(docs.select("doc_id", "text"), model).fit(weights_of_total(WEIGHTS))
+    # the documents that the labels table covers: their languages count as known
+    model = fit_domains(docs, "doc_id", "text", "lang", table(spark, sf_dir, "labels"))
+    mixer = Mixer(docs, model, keep=["doc_id"]).fit(weights_of_total(WEIGHTS))
     rated = mixer.rated()
     return rated.select("doc_id", "tokens", *[F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))

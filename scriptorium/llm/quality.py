@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import worker_state
+
 #: most labelled documents to learn from
 SAMPLE = 8192
 BITS = 18
@@ -68,11 +70,6 @@ class Features:
             self.hashes[k] = xxhash.xxh64_intdigest(w.encode()), xxhash.xxh64_intdigest(word_shape(w).encode(), 1)
         return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
-    def word_indices(self, text: str | None) -> np.ndarray:
-        """Weight indices of the single words."""
-        words = (text or "").split()
-        return (self.hashes[self._place(words), 0] >> self.shift).astype(np.int64) if words else np.zeros(0, np.int64)
-
     def indices(self, text: str | None) -> tuple[np.ndarray, int]:
         """Weight indices of all features, with repetition, and the number of words."""
         words = (text or "").split()
@@ -151,7 +148,7 @@ def score(df: DataFrame, weights: np.ndarray, text: str = "text", into: str = "s
     shared = df.sparkSession.sparkContext.broadcast(weights)  # 2^bits + 1 floats, whatever the input
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, w = Features(bits), shared.value
+        hashed, w = worker_state(("quality", bits), lambda: Features(bits)), shared.value
         for b in batches:
             out = []
             for t in b.column(at_column).to_pylist():
