@@ -36,12 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, written
+from .common import checkpointed, worker_state, written
 from .components import connected_components
 
 #: n-grams listed as frequent, and the count in a run of documents from which one is a candidate;
 #: an n-gram seen in less than a share of the places of its rarest word needs no listing
 FREQUENT, FREQUENT_IN_RUN, OF_RAREST = 1 << 18, 3, 0.2
+#: n-grams in a run, which bounds what a task holds
+RUN_GRAMS = 2_500_000
 #: the same for common words
 COMMON, COMMON_IN_RUN = 1 << 17, 8
 #: sets in a block from which pivots come first, and how many pivots
@@ -151,7 +153,7 @@ def _describe(rule: Rule, seed: int):
     """Texts to set descriptions, and the n-grams (n = -1) and words (n = -2) that are frequent in a run of documents."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held, sum_words = Shingler(rule.words, seed), 0, 0
+        shingler, held, sum_words = worker_state(("grams", rule.words, seed), lambda: Shingler(rule.words, seed)), 0, 0
         run, words, places = [], [], []  # distinct n-grams of each text, its words, and where in the run the n-grams stand
         names = ["doc", "n", "set_id", "proof", "bits"]
 
@@ -164,8 +166,10 @@ def _describe(rule: Rule, seed: int):
                 return
             found, at, counts = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
             yield row(found[counts >= COMMON_IN_RUN], counts[counts >= COMMON_IN_RUN], -2)
-            rarest = np.append(counts[at], np.full(rule.words, np.iinfo(np.int64).max))
-            rarest = np.min([rarest[i : len(at) + i] for i in range(rule.words)], axis=0)
+            of_word = counts[at]
+            rarest = of_word.copy()
+            for i in range(1, rule.words):
+                np.minimum(rarest[:-i], of_word[i:], out=rarest[:-i])
             grams, first, counts = np.unique(np.concatenate(run), return_index=True, return_counts=True)
             listed = (counts >= FREQUENT_IN_RUN) & (counts >= OF_RAREST * rarest[np.concatenate(places)[first]])
             yield row(grams[listed], counts[listed], -1)
@@ -184,7 +188,7 @@ def _describe(rule: Rule, seed: int):
                     held += len(s)
                 else:
                     rows.append((doc, 0, None, None, None))
-                if held > 6_000_000:
+                if held > RUN_GRAMS:
                     yield from frequent()
                     run, words, places, held, sum_words = [], [], [], 0, 0
             columns = list(zip(*rows, strict=True)) or [[]] * 5
@@ -199,7 +203,7 @@ def _postings(rule: Rule, seed: int, frequent):
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, ranks, words, costs = frequent.value  # sorted, with the rank of each (rarer first, from 1)
-        shingler, seen = Shingler(rule.words, seed, (words, costs)), set()
+        shingler, seen = worker_state(("costed grams", rule.words, seed, hash((words.tobytes(), costs.tobytes()))), lambda: Shingler(rule.words, seed, (words, costs))), set()
         for b in batches:
             parts = []
             for text in b.column(0).to_pylist():
@@ -229,7 +233,7 @@ def _sets(rule: Rule, seed: int):
     """Texts to whole sets under their names."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(rule.words, seed)
+        shingler = worker_state(("grams", rule.words, seed), lambda: Shingler(rule.words, seed))
         for b in batches:
             names, grams, held = [], [], 0
             for i, text in enumerate(b.column(0).to_pylist()):

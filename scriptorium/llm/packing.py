@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import worker_state
+
 PARTS = 3  # lengths in a combination
 
 
@@ -182,13 +184,8 @@ class WordTokens:
             self.words[w] = self.parts[split[w][0]] + self.parts[split[w][1]] if w in split else self.parts[w]
 
 
-_tokenizers: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str) -> WordTokens:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokens(path)
-    return _tokenizers[path]
+    return worker_state(("words", path), lambda: WordTokens(path))
 
 
 class Packer:

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import worker_state
+
 SPACE = "▁"
 BITS = 40
 POSITION = (1 << BITS) - 1
@@ -155,14 +157,9 @@ class _Remembered(dict):
         return value
 
 
-_counters: dict[str, PieceCounter] = {}
-
-
 def piece_counter(model_path: str) -> PieceCounter:
-    """One counter for each model in each Python worker."""
-    if model_path not in _counters:
-        _counters[model_path] = PieceCounter(model_path)
-    return _counters[model_path]
+    """One counter for a model in each Python worker."""
+    return worker_state(("pieces", model_path), lambda: PieceCounter(model_path))
 
 
 def count_tokens(df: DataFrame, model_path: str, text: str = "text", into: str = "n_tokens") -> DataFrame:
