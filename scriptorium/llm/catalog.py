@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_chat, q_url_filters
+from . import q_chat, q_jaccard, q_suffix_dedup, q_url_filters
 from .q_chat import op9_chat_formatting
 from .q_fingerprints import op8_document_fingerprints
 from .q_jaccard import op3_ngram_jaccard_join
@@ -32,6 +32,8 @@ def queries():
 
 def oracle_sql():
     return {
+        "op3_ngram_jaccard_join": q_jaccard.ORACLE,
+        "op6_suffix_dedup": q_suffix_dedup.ORACLE,
         "op7_url_filters": q_url_filters.ORACLE,
         "op9_chat_formatting": q_chat.ORACLE,
     }
