@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 import pytest
 
 from scriptorium.plans import catalog
@@ -10,7 +11,7 @@ QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 
 
 def value(x):
-    if x is None or (isinstance(x, float) and math.isnan(x)):
+    if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
         return None
     return f"{float(x):.9g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
