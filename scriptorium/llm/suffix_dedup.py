@@ -51,7 +51,6 @@ BATCH_WINDOWS, CROWDED = 40_000, 4096
 JUDGED_TOGETHER = 4000
 MIX = 0x9E3779B97F4A7C15  # an odd constant: 2^64 over the golden ratio
 _BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64)
-KEY_BITS = 25
 
 
 def gram_hashes(data: bytes, k: int = GRAM) -> np.ndarray:
@@ -271,11 +270,15 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def key_columns(doc: str, text: str) -> list[Column]:
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return [F.coalesce(F.col(f"`{doc}`").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(t).bitwiseAND(F.lit((1 << KEY_BITS) - 1)).alias("tag"), t.alias("text")]
+    key = F.coalesce(F.col(f"`{doc}`").cast("long"), F.lit(-(2**63)))
+    return [F.xxhash64(key, F.md5(F.encode(t, "UTF-8"))).alias("doc"), F.xxhash64(t).alias("tag"), t.alias("text")]
 
 
 def keyed(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, tag, text): the key, null the least, and bits of the text, which tell apart rows with one key."""
+    """(doc, tag, text): 128 bits, two hashes of the text and one of them of the key too.
+
+    Rows that share both have equal texts, and equal texts have equal spans.
+    """
     return df.select(*key_columns(doc, text))
 
 

@@ -187,6 +187,15 @@ def test_repeats_equal_brute_force(spark, monkeypatch, crowded):
     assert suffix_dedup.dedupe_substrings(table(spark, [])).count() == 0
 
 
+def test_texts_of_one_key_are_told_apart(spark):
+    filler = F.concat(*[F.md5(F.concat_ws("-", "id", F.lit(k))) for k in range(8)])
+    made = spark.range(30_000).select(filler.alias("text")).withColumn("bits", F.xxhash64("text").bitwiseAND(F.lit((1 << 25) - 1)))
+    alike = made.groupBy("bits").agg(F.sort_array(F.collect_list("text")).alias("t")).filter("size(t) > 1").orderBy("bits").first().t
+    rows = [(None, alike[0]), (None, alike[1]), (1, alike[0])]
+    got = suffix_dedup.dedupe_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_removed, r.kept_text) for r in got) == [(0, 0, alike[1]), (0, 256, ""), (1, 256, "")]
+
+
 def test_index_family_merges_geometrically():
     rng = np.random.default_rng(3)
     family = suffix_dedup.IndexFamily(20)
