@@ -19,7 +19,7 @@ already look so get one more; reading back takes one away.  Newlines in roles be
 
 Defined results: null texts, roles and scores count as empty, empty and 0; a reply to a
 message that does not exist starts a path of its own; messages on a circle belong to no
-path; repeated message keys are kept apart by a rank; ties in score go to the smaller
+path; messages without a tree are one tree, whose key is null; repeated message keys are kept apart by a rank; ties in score go to the smaller
 leaf; an empty table gives an empty table; extra columns are ignored.
 """
 
@@ -70,6 +70,13 @@ def linear_threads(turns: DataFrame, thread: str = "conv_id", order: str = "turn
     return numbered.select("tree", "msg", F.when(F.col("msg") > 1, F.col("msg") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joined on equal keys, where a null tree equals itself."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) if k == "tree" else F.col(k) == F.col(f"_right_{k}") for k in keys]
+    return left.join(other, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def reply_paths(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(tree, leaf, msg, dist): every message on the way from each leaf up to its root; dist 0 is the leaf.
 
@@ -77,17 +84,17 @@ def reply_paths(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     ids = messages.select("tree", "msg", "parent")
     known = ids.select("tree", F.col("msg").alias("parent"))
-    linked = ids.filter(F.col("parent").isNotNull()).join(known, ["tree", "parent"], "left_semi")
+    linked = joined(ids.filter(F.col("parent").isNotNull()), known, ["tree", "parent"], "left_semi")
     jump = checkpointed(linked.select("tree", "msg", F.col("parent").alias("up")))
-    leaves = ids.join(linked.select("tree", F.col("parent").alias("msg")).distinct(), ["tree", "msg"], "left_anti")
+    leaves = joined(ids, linked.select("tree", F.col("parent").alias("msg")).distinct(), ["tree", "msg"], "left_anti")
     paths = checkpointed(leaves.select("tree", F.col("msg").alias("leaf"), "msg", F.lit(0).cast("long").alias("dist")))
     for k in range(max_rounds):
         if jump.isEmpty():
             break
-        further = paths.join(jump, ["tree", "msg"]).select("tree", "leaf", F.col("up").alias("msg"), (F.col("dist") + 2**k).alias("dist"))
+        further = joined(paths, jump, ["tree", "msg"]).select("tree", "leaf", F.col("up").alias("msg"), (F.col("dist") + 2**k).alias("dist"))
         paths = checkpointed(paths.unionByName(further))
         onward = jump.select("tree", F.col("msg").alias("up"), F.col("up").alias("_next"))
-        jump = checkpointed(jump.join(onward, ["tree", "up"]).select("tree", "msg", F.col("_next").alias("up")))
+        jump = checkpointed(joined(jump, onward, ["tree", "up"]).select("tree", "msg", F.col("_next").alias("up")))
         if k > 0 and further.isEmpty():
             break  # what still jumps stands on a circle, above which no leaf hangs
     return paths
@@ -95,7 +102,7 @@ def reply_paths(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 def rank_paths(paths: DataFrame, messages: DataFrame, keep: int = 1) -> DataFrame:
     """The ``keep`` best leaves of each tree by mean message score: (tree, leaf, path_score, rank)."""
-    scored = paths.join(messages.select("tree", "msg", F.coalesce("score", F.lit(0.0)).alias("score")), ["tree", "msg"])
+    scored = joined(paths, messages.select("tree", "msg", F.coalesce("score", F.lit(0.0)).alias("score")), ["tree", "msg"])
     means = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("path_score"))
     w = W.partitionBy("tree").orderBy(F.col("path_score").desc(), F.col("leaf"))
     return means.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
@@ -108,7 +115,7 @@ def format_paths(paths: DataFrame, ranked: DataFrame, messages: DataFrame) -> Da
     assistant turn, around its escaped text.
     """
     body = messages.select("tree", "msg", "role", escape_role(F.col("role")).alias("_head"), escape(F.col("text")).alias("_body"))
-    rows = paths.join(ranked.select("tree", "leaf", "rank"), ["tree", "leaf"]).join(body, ["tree", "msg"])
+    rows = joined(joined(paths, ranked.select("tree", "leaf", "rank"), ["tree", "leaf"]), body, ["tree", "msg"])
     turn = F.struct((-F.col("dist")).alias("at"), F.concat(F.lit(START), "_head", F.lit("\n")).alias("head"), F.col("_body").alias("body"), (F.col("role") == "assistant").alias("learn"))
     ordered = rows.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     close = len(END) + 1

@@ -288,6 +288,14 @@ def test_chat_round_trip(spark):
     assert chat.reply_paths(chat.linear_threads(turns.limit(0))).count() == 0
 
 
+def test_turns_without_a_conversation(spark):
+    turns = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 2, "user", "c"), (None, 3, "assistant", "d"), (None, 4, "user", "e"), (5, 0, "user", "f")]
+    m = chat.linear_threads(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    paths = chat.reply_paths(m)
+    back = chat.read_back(chat.format_paths(paths, chat.rank_paths(paths, m), m)).collect()
+    assert {r.tree: ("".join(t.text for t in r.turns), r.loss_text) for r in back} == {None: ("abcde", "bd"), 5: ("f", "")}
+
+
 # ---- media ------------------------------------------------------------------------------
 
 
