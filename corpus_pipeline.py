@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import table, written
-from scriptorium.llm.jaccard import Rule, near_duplicate_classes
+from scriptorium.llm.jaccard import Rule, first_of_classes, text_digest
 from scriptorium.llm.mixing import Mixer, copies, fit_domains, tempered
 from scriptorium.llm.packing import pack
 from scriptorium.llm.q_quality import THRESHOLD, scored_documents
@@ -32,16 +32,16 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate class, the one with the least doc_id.
+    """Keeps one document of each near-duplicate class: the one with the least doc_id, then text digest.
 
     Rows that repeat each other in key and text count as one document.  A row without a
-    key stays if it is in no class with one that has a key.
+    key stays only where its class has none with a key, and one such row of a class.
     """
-    classes = near_duplicate_classes(docs, NEAR)
-    stay = classes.groupBy("doc_id").agg(F.max(F.expr("doc_id <=> component_id")).alias("stays"), F.count("*").alias("rows")).filter("stays")
-    kept = docs.join(stay.select(F.col("doc_id").alias("_key"), "rows"), F.expr("doc_id <=> _key"))
+    first = first_of_classes(docs, NEAR).select(F.col("doc").alias("_key"), F.col("digest").alias("_digest"), "rows")
+    told = docs.withColumn("_told", text_digest("text"))
+    kept = told.join(first, F.expr("CAST(doc_id AS LONG) <=> _key AND _told = _digest"))
     once = kept.filter("rows = 1")
-    again = kept.filter("rows > 1").dropDuplicates(["doc_id", "text"])
+    again = kept.filter("rows > 1").dropDuplicates(["_key", "_digest"])
     return once.unionByName(again).select(*[f"`{c}`" for c in docs.columns])
 
 

@@ -33,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, worker_state, written
@@ -149,17 +149,17 @@ def differing_bits(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _describe(rule: Rule, seed: int):
-    """Texts to set descriptions, and the n-grams (n = -1) and words (n = -2) that are frequent in a run of documents."""
+def _describe(rule: Rule, seed: int, told: bool = False):
+    """Texts to set descriptions (with the digest beside the text, if ``told``), and the n-grams (n = -1) and words (n = -2) that are frequent in a run of documents."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, sum_words = worker_state(("grams", rule.words, seed), lambda: Shingler(rule.words, seed)), 0, 0
         run, words, places = [], [], []  # distinct n-grams of each text, its words, and where in the run the n-grams stand
-        names = ["doc", "n", "set_id", "proof", "bits"]
+        names = ["doc", "n", "set_id", "proof", "bits", *["digest"] * told]
 
         def row(hashes: np.ndarray, counts: np.ndarray, kind: int) -> pa.RecordBatch:
             none = pa.nulls(len(hashes), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(np.full(len(hashes), kind)), pa.array(hashes.view(np.int64)), pa.array(counts), pa.nulls(len(hashes), pa.binary())], names)
+            return pa.RecordBatch.from_arrays([none, pa.array(np.full(len(hashes), kind)), pa.array(hashes.view(np.int64)), pa.array(counts), *[pa.nulls(len(hashes), pa.binary())] * (1 + told)], names)
 
         def frequent() -> Iterator[pa.RecordBatch]:
             if not run:
@@ -192,7 +192,7 @@ def _describe(rule: Rule, seed: int):
                     yield from frequent()
                     run, words, places, held, sum_words = [], [], [], 0, 0
             columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)] + b.columns[2:], names)
         yield from frequent()
 
     return described
@@ -284,10 +284,11 @@ def _linked(rule: Rule):
 class _Join:
     def __init__(self, docs: DataFrame, rule: Rule):
         self.rule = rule
-        self.docs = docs  # doc long, text string
+        self.docs = docs.select("doc", "text")  # doc long, text string
+        told = [c for c in docs.columns if c == "digest"]  # binary, optional
         for self.seed in range(0, 10, 2):  # another seed if two sets share a name, which is next to never
-            described = written(docs.mapInArrow(_describe(rule, self.seed), "doc long, n long, set_id long, proof long, bits binary"), "sets")
-            self.members = described.filter("n >= 0").select("doc", "n", "set_id")
+            described = written(docs.mapInArrow(_describe(rule, self.seed, bool(told)), "doc long, n long, set_id long, proof long, bits binary" + ", digest binary" * len(told)), "sets")
+            self.members = described.filter("n >= 0").select("doc", "n", "set_id", *told)
             named = described.filter("n > 0").groupBy("set_id")
             self.sets = named.agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("proof").alias("p"), F.max("proof").alias("q"))
             if self.sets.filter("p != q").isEmpty():
@@ -385,3 +386,23 @@ def near_duplicate_classes(df: DataFrame, rule: Rule, doc: str = "doc_id", text:
     of_set = checkpointed(named.join(least, "class").select("set_id", "component_id"))
     out = join.members.join(of_set, "set_id", "left")
     return out.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+
+
+def first_of_classes(df: DataFrame, rule: Rule, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, digest, rows): the key and text digest that come first in each class, and how many rows have both.
+
+    Keys come in order, null last, then digests.  Texts without words are in no class;
+    each of their keys and digests stands alone.
+    """
+    docs = df.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"), text_digest(text).alias("digest"))
+    join = _Join(docs, rule)
+    of_set = checkpointed(join.sets.select("set_id").join(join.classes(), "set_id", "left").select("set_id", F.coalesce("class", "set_id").alias("class")))
+    alone = F.when(F.col("class").isNull(), F.struct("doc", "digest")).alias("alone")
+    rows = join.members.join(of_set, "set_id", "left").groupBy("class", "doc", "digest").agg(F.count("*").alias("rows"))
+    first = rows.groupBy("class", alone).agg(F.min(F.struct(F.col("doc").isNull().alias("keyless"), "doc", "digest", "rows")).alias("first"))
+    return first.select("first.doc", "first.digest", "first.rows")
+
+
+def text_digest(text: str) -> Column:
+    """16 bytes that tell texts apart; none for null."""
+    return F.coalesce(F.unhex(F.md5(F.encode(F.col(f"`{text}`"), "UTF-8"))), F.lit(b""))

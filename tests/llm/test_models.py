@@ -111,3 +111,12 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         spark.createDataFrame([(3, 1, 0), (4, 0, 0), (None, 1, 1)] if data else [], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
         out = p.run(spark, d).collect()
         assert (len(out) > 0) == bool(data)
+
+
+def test_near_duplicates_are_judged_row_by_row(spark):
+    import corpus_pipeline as p
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
+    rows = [(None, a), (None, a + " x"), (None, a), (3, b), (None, b + " x"), (9, b + " y"), (7, c), (7, d + " x"), (2, d), (None, None), (None, ""), (None, "")]
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in p.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()))
+    assert kept[:2] == [(0, ""), (0, "")] and kept[2] in [(0, a), (0, a + " x")] and kept[3:] == [(2, d), (3, b), (7, c)]
