@@ -83,7 +83,7 @@ def meaningful_differences(pdf: DataFrame, corrections: DataFrame, key: list[str
     return joined.groupBy(*key).agg(F.count_if(differs).alias("differences"))
 
 
-def ligature_closure(known: DataFrame, rules: DataFrame, key: str = "font", most_passes: int = 32) -> DataFrame:
+def ligature_closure(known: DataFrame, rules: DataFrame, key: str = "font") -> DataFrame:
     """(font, glyph, text): texts of ligatures whose components are known, until nothing new follows.
 
     ``known`` (font, glyph, text); ``rules`` (font, rule, glyph, components).  A pass joins
@@ -91,11 +91,12 @@ def ligature_closure(known: DataFrame, rules: DataFrame, key: str = "font", most
     """
     parts = rules.select(key, "rule", F.col("glyph").alias("_lig"), F.size("components").alias("_n"), F.posexplode("components").alias("_i", "glyph"))
     current, size = known.select(key, "glyph", "text"), -1
-    for _ in range(most_passes):
+    while True:  # each pass but the last adds a glyph, so there are at most as many as rules, and one
         found = parts.join(current, [key, "glyph"]).groupBy(key, "rule", "_lig", "_n").agg(F.array_sort(F.collect_list(F.struct("_i", "text"))).alias("_t"))
         made = found.filter(F.size("_t") == F.col("_n")).select(key, "rule", F.col("_lig").alias("glyph"), F.array_join(F.transform("_t", lambda s: s["text"]), "").alias("text"))
         first = made.groupBy(key, "glyph").agg(F.min_by("text", "rule").alias("text")).join(current, [key, "glyph"], "left_anti")
-        current = current.unionByName(first).checkpoint() if current.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else current.unionByName(first)
+        both = current.unionByName(first)
+        current = both.checkpoint() if both.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else both.localCheckpoint()
         now = current.count()
         if now == size:
             break

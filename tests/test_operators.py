@@ -197,3 +197,12 @@ def test_decision_rows_and_subjects(spark):
     assert "| 2. | B ministry | may गर्ने |" in transcribed.decision_table(rows).first().markdown
     f = spark.createDataFrame([("Re: a thing. And more", 4, 5.0), ("plain", 5, None)], "text string, line_number int, gap_before double")
     assert [(r.text, r.line_number, r.gap_before) for r in transcribed.split_inline_subjects(f).collect()] == [("Re: a thing.", 4, 5.0), ("And more", 5, 0.0), ("plain", 5, None)]
+
+
+def test_ligatures_of_a_long_chain_are_resolved(spark):
+    from scriptorium.operators import cmaps
+
+    known = spark.createDataFrame([("f", 0, "a")], "font string, glyph int, text string")
+    rules = spark.createDataFrame([("f", i, i, [i - 1, 0]) for i in range(1, 37)], "font string, rule int, glyph int, components array<int>")
+    got = {r.glyph: r.text for r in cmaps.ligature_closure(known, rules).collect()}
+    assert got == {i: "a" * (i + 1) for i in range(37)}
