@@ -21,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session names none (a single machine, tests) is a local one made,
-    and removed when the process ends.
+    Only where the session names none is a local one made, and removed when the process
+    ends; that is for a single machine, and refused on a cluster.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -31,6 +31,8 @@ def scratch_root(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="scriptorium-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     sc.setCheckpointDir(f"file://{made}")
@@ -43,11 +45,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, **options) -> DataFrame:
     """A lineage cut as a Parquet table in the shared folder (columnar and compressed)."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/scriptorium-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -170,10 +170,14 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("crowded", [4096, 2])
-def test_repeats_equal_brute_force(spark, monkeypatch, crowded):
-    monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
-    monkeypatch.setattr(suffix_dedup, "BATCH_WINDOWS", 300)
+@pytest.mark.parametrize(
+    "sizes",
+    [
+        suffix_dedup.Sizes(), suffix_dedup.Sizes(batch_bytes=700, batch_windows=300, judged_together=20),
+        suffix_dedup.Sizes(batch_bytes=900, batch_windows=300, judged_together=20, crowded=2), suffix_dedup.Sizes(batch_bytes=3000, batch_windows=300, hot_least=1, hot_share=1 << 40, block=16),
+    ],
+)
+def test_repeats_equal_brute_force(spark, sizes):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdé ") for _ in range(rng.randint(2, 9)))
     passages = ["".join(word() for _ in range(n)) for n in (45, 60, 35, 90)]
@@ -181,7 +185,7 @@ def test_repeats_equal_brute_force(spark, monkeypatch, crowded):
     for _ in range(60):
         texts.append("".join(rng.choice([word(), word(), rng.choice(passages)[rng.randint(0, 40) :]]) for _ in range(rng.randint(1, 12))))
     texts += [texts[-1], texts[-2] + "!"]
-    rows = suffix_dedup.dedupe_substrings(table(spark, texts)).collect()
+    rows = suffix_dedup.dedupe_substrings(table(spark, texts).repartition(3, "doc_id"), sizes=sizes).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == brute_repeats(texts, 200)
     assert all(r.tag == "clash" for r in rows)
     assert suffix_dedup.dedupe_substrings(table(spark, [])).count() == 0
