@@ -361,13 +361,14 @@ def _single_windows(length: int):
                 stands[level.seen] = True
                 rows, at = [], 0
                 for single, batch, doc, first, text in zip(*(part.column(c).to_pylist() for c in ("single", "batch", "doc", "first")), texts, strict=True):
-                    for k in range(len(text) - length + 1):
-                        if single and repeat[at]:
-                            rows.append((0, True, True, batch, doc, first + k, None, first + k + length))
-                        if stands[at]:
-                            window = text[k : k + length]
-                            rows.append((xxhash.xxh3_64_intdigest(window) - (1 << 63), single and not bool(repeat[at]), True, batch, doc, first + k, window, None))
-                        at += 1
+                    n = len(text) - length + 1
+                    known = repeat[at : at + n]
+                    if single:
+                        rows += [(0, True, True, batch, doc, first + a, None, first + e - 1 + length) for a, e in _runs(known)]
+                    for k in np.flatnonzero(stands[at : at + n]).tolist():
+                        window = text[k : k + length]
+                        rows.append((xxhash.xxh3_64_intdigest(window) - (1 << 63), single and not known[k], True, batch, doc, first + k, window, None))
+                    at += n
                 yield _table(rows, fields)
 
     return made
@@ -406,7 +407,8 @@ def _spans(batches: DataFrame, verdicts: DataFrame, length: int, sizes: Sizes) -
     plain = _families(around.filter("NOT crowded"), length, sizes)
     blocks = around.filter("crowded").mapInArrow(_blocks(length, sizes.block), AROUND_SCHEMA)
     often = blocks.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    met = written(blocks.join(often, "gram", "left_semi").mapInArrow(_single_windows(length), AROUND_SCHEMA + ", stop int"), "met")
+    partnered = blocks.join(often, "gram", "left_semi").repartition("batch", "doc", "first")  # spread again, whatever they share
+    met = written(partnered.mapInArrow(_single_windows(length), AROUND_SCHEMA + ", stop int"), "met")
     split = _families(met.filter("text IS NOT NULL"), length, sizes, windows=64)
     spans = plain.unionByName(met.filter("text IS NULL").select("batch", "doc", F.col("first").alias("start"), "stop")).unionByName(split)
     out = written(spans, "spans")
