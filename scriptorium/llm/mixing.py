@@ -8,19 +8,24 @@ below ``least_rate`` (0: nonnegative):
     minimise  sum_d (S_d(r) - T_d)^2 / D_d,   S_d(r) = sum_i r_i tokens_i P(d | i)
 
 where T are the target token totals and D the totals at rate 1.  It is solved by
-projected gradient steps in the metric of the documents' tokens, in which step length 1
-always descends (the matrix of second moments over D has row sums 1).  A step needs only
-the D-vector of totals, one distributed sum over a narrow table, and a document's rate
-after k steps follows from its posterior and the k vectors, so no state is kept.
+projected gradient steps with momentum in the metric of the documents' tokens, in which
+step length 1 always descends (the matrix of second moments over D has row sums 1).  A
+step needs only the D-vector of totals, one distributed sum over a narrow table, and a
+document's rate after k steps follows from its posterior and the k vectors, so no state
+is kept.
 
 Defined results: a null or empty text has no tokens, the posterior of the bias, and
 takes no part in the sums; a null label is not learnt from; a domain without tokens
-cannot be raised and is left out; without labels there is one domain, ""; repeated rows
-get equal rates; an empty table gives an empty table.
+cannot be raised and is left out; without labels there is one domain, ""; more than
+``MOST_DOMAINS`` domains are an error; repeated rows get equal rates, and rows that repeat
+a key are learnt from once; a whole text counts, however long; an empty table gives an
+empty table; other columns are kept, except those named tokens, posterior or rate, whose
+place the results take.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -100,7 +105,8 @@ def fit_domains(docs: DataFrame, key: str, text: str, domain: str, labelled: Dat
     if labelled is not None:  # keys and domains only: no text is moved for this
         rows = rows.join(labelled.select(F.col(f"`{key}`").alias("k")), "k", "left_semi")
     chosen = rows.filter("d IS NOT NULL AND k IS NOT NULL").orderBy("o", "k").limit(most).distinct()
-    sample = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(F.broadcast(chosen), "k")  # at most ``most`` short rows
+    found = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(F.broadcast(chosen), "k")  # at most ``most`` short rows
+    sample = found.groupBy("o", "k", "d").agg(F.min("t").alias("t"))  # of rows that repeat a key, the least text: as many rows as keys
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(bits)
@@ -125,11 +131,12 @@ def fit_domains(docs: DataFrame, key: str, text: str, domain: str, labelled: Dat
     return DomainModel(list(domains), np.frombuffer(bytes(weights), np.float32).reshape(-1, len(domains)))
 
 
-def _rates(tokens: np.ndarray, posteriors: np.ndarray, steps: list[np.ndarray], least: float) -> np.ndarray:
-    r = np.full(len(tokens), max(1.0, least))
-    for g in steps:
-        r = np.maximum(least, r - posteriors @ g)
-    return r
+def _rates(posteriors: np.ndarray, steps: list[tuple[float, np.ndarray]], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rates after the steps, and before the last one."""
+    r = before = np.full(len(posteriors), max(1.0, least))
+    for momentum, g in steps:
+        r, before = np.maximum(least, r + momentum * (r - before) - posteriors @ g), r
+    return r, before
 
 
 class Mixer:
@@ -142,7 +149,7 @@ class Mixer:
     def __init__(self, df: DataFrame, model: DomainModel, text: str = "text", least_rate: float = 0.0, keep: list[str] | None = None):
         self.least = least_rate
         self.domains = model.domains
-        self.steps: list[np.ndarray] = []
+        self.steps: list[tuple[float, np.ndarray]] = []  # momentum, and a value for each domain
         shared = df.sparkSession.sparkContext.broadcast(model)  # at most (2^BITS + 1) x MOST_DOMAINS floats
         added = ["tokens", "posterior"]
         self.keep = [c for c in (df.columns if keep is None else keep) if c not in [*added, "rate"]]
@@ -162,51 +169,76 @@ class Mixer:
         self.narrow = self.described.select("tokens", "posterior")
 
     def totals(self) -> np.ndarray:
-        """Expected tokens of each domain at the present rates: one distributed sum."""
+        """One distributed sum: expected tokens of each domain at the present rates; the same before the last step; and all the tokens that it moved."""
         steps, least, d = self.steps, self.least, len(self.domains)
 
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(d)
+            total = np.zeros(2 * d + 1)
             for b in batches:
                 tokens = b.column(0).to_numpy(zero_copy_only=False).astype(float)
                 p = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                total += (_rates(tokens, p, steps, least) * tokens) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d)), pa.array(total)], ["domain", "total"])
+                rates, before = _rates(p, steps, least)
+                total += np.concatenate([(rates * tokens) @ p, (before * tokens) @ p, [np.abs(rates - before) @ tokens]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * d + 1)), pa.array(total)], ["domain", "total"])
 
-        out = np.zeros(d)
-        for domain, total in self.narrow.mapInArrow(summed, "domain long, total double").groupBy("domain").sum("total").collect():  # a row per domain
+        out = np.zeros(2 * d + 1)
+        for domain, total in self.narrow.mapInArrow(summed, "domain long, total double").groupBy("domain").sum("total").collect():  # two rows per domain
             out[domain] = total
         return out
 
-    def fit(self, targets: Callable[[dict[str, float]], dict[str, float]], tolerance: float = 1e-4, most_steps: int = 60) -> Mixer:
-        """Takes steps until every domain is within ``tolerance`` of its target, or no further.
-
-        ``targets`` gets each domain's tokens and returns the tokens each is to have.
+    def fit(self, targets: Callable[[dict[str, float]], dict[str, float]], tolerance: float = 1e-4, most_steps: int = 1000) -> Mixer:
+        """Steps until every domain is within ``tolerance`` of its target, or until the rates are optimal.
+
+        ``targets`` gets each domain's tokens and returns the tokens each is to have.  Steps
+        have momentum, which starts anew when the cost has grown.  Rates are optimal when a
+        step without momentum moves less than a ``tolerance`` of all tokens: what a
+        projected gradient step moves is nought exactly where the optimality conditions
+        hold.  Targets may be out of reach of rates not below ``least_rate``: ``after`` has
+        what was reached, ``residual`` the share of tokens that the last step moved,
+        ``met`` whether the targets were, ``converged`` whether either end was (else there
+        is a warning).
         """
-        base = self.totals()
+        d = len(self.domains)
+        now = self.totals()[:d]
+        base = now
         self.before = dict(zip(self.domains, base.tolist(), strict=True))
         wanted = targets(self.before)
-        self.targets = np.array([wanted.get(d, 0.0) for d in self.domains])
-        reachable = base > 0
-        now = base
-        for _ in range(most_steps):
-            off = np.where(reachable, now - self.targets, 0.0)
-            if np.all(np.abs(off) <= tolerance * np.maximum(self.targets, 1.0)):
+        self.targets = np.array([wanted.get(x, 0.0) for x in self.domains])
+        scale = np.where(base > 0, base, np.inf)
+        cost = lambda t: float(((t - self.targets) ** 2 / scale).sum())
+        last, self.residual, since, momentum = now, np.inf, 0, 0.0
+        while True:
+            off = np.where(base > 0, now - self.targets, 0.0)
+            self.met = bool(np.all(np.abs(off) <= tolerance * np.maximum(self.targets, 1.0)))
+            self.converged = self.met or (self.residual <= tolerance and momentum == 0.0)
+            if self.converged or len(self.steps) >= most_steps:
                 break
-            self.steps.append(off / np.where(reachable, base, 1.0))
-            now = self.totals()
+            settled = self.residual <= tolerance or cost(now) > cost(last)  # look, or start, without momentum
+            since = 0 if settled else since + 1
+            momentum = since / (since + 3.0) if since else 0.0
+            ahead = now + momentum * (now - last)  # the totals are linear in the rates
+            self.steps.append((momentum, (ahead - self.targets) / scale))
+            out = self.totals()
+            now, last = out[:d], out[d : 2 * d]
+            self.residual = out[2 * d] / max(now.sum(), 1.0)
+        if not self.converged:
+            warnings.warn(f"mixing stopped after {most_steps} steps; the last one moved {self.residual:.2g} of all tokens", stacklevel=2)
         self.after = dict(zip(self.domains, now.tolist(), strict=True))
         return self
 
     def rated(self) -> DataFrame:
         """The kept columns with tokens, posterior and rate: the steps taken, as an expression over the posterior."""
-        steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in self.steps]).cast("array<array<double>>")
+        if not self.steps:
+            return self.described.withColumn("rate", F.lit(max(1.0, self.least)))
+        steps = F.array(*[F.array(*[F.lit(float(x)) for x in (m, *g)]) for m, g in self.steps])
 
-        def step(rate: Column, g: Column) -> Column:
-            moved = F.aggregate(F.zip_with("posterior", g, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
-            return F.greatest(F.lit(float(self.least)), rate - moved)
+        def step(state: Column, s: Column) -> Column:
+            moved = F.aggregate(F.zip_with("posterior", F.slice(s, 2, len(self.domains)), lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
+            r = state["r"] + F.get(s, F.lit(0)) * (state["r"] - state["before"]) - moved
+            return F.struct(F.greatest(F.lit(float(self.least)), r).alias("r"), state["r"].alias("before"))
 
-        return self.described.withColumn("rate", F.aggregate(steps, F.lit(max(1.0, self.least)), step))
+        start = F.lit(max(1.0, self.least))
+        return self.described.withColumn("rate", F.aggregate(steps, F.struct(start.alias("r"), start.alias("before")), step)["r"])
 
 
 def copies(rate: Column, key: Column, seed: int = 7) -> Column:
@@ -220,12 +252,16 @@ def weights_of_total(weights: dict[str, float]) -> Callable[[dict[str, float]],
     return lambda have: {d: w * sum(have.values()) / sum(weights.values()) for d, w in weights.items()}
 
 
-def tempered(power: float) -> Callable[[dict[str, float]], dict[str, float]]:
-    """Targets in proportion to share^power, large enough that no domain has to shrink."""
+def tempered(power: float, room: float = 0.05) -> Callable[[dict[str, float]], dict[str, float]]:
+    """Targets in proportion to share^power, large enough that no domain has to shrink.
+
+    Raising one domain raises others too, as membership is soft: ``room`` is what the
+    largest may gain by that.
+    """
 
     def targets(have: dict[str, float]) -> dict[str, float]:
         raised = {d: n**power for d, n in have.items() if n > 0}
-        scale = max((have[d] / x for d, x in raised.items()), default=0.0)
+        scale = (1 + room) * max((have[d] / x for d, x in raised.items()), default=0.0)
         return {d: x * scale for d, x in raised.items()}
 
     return targets

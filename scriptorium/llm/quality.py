@@ -113,7 +113,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc: str, text: str, lab
     once = labels.filter(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(F.col(doc).alias("_key")).agg(F.min(label).cast("long").alias("_label"))
     chosen = once.withColumn("_order", F.xxhash64("_key")).orderBy("_order", "_key").limit(most)
     # at most ``most`` short rows: safe to broadcast
-    return docs.select(F.col(f"`{doc}`").alias("_key"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(chosen), "_key")
+    found = docs.select(F.col(f"`{doc}`").alias("_key"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(chosen), "_key")
+    # of rows that repeat a key, the least text: as many rows as keys
+    return found.groupBy("_order", "_key", "_label").agg(F.min("_text").alias("_text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality", most: int = SAMPLE, bits: int = BITS) -> np.ndarray:

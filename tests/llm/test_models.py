@@ -58,6 +58,31 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.Mixer(df.limit(0), model).fit(mixing.tempered(0.5)).rated().count() == 0
 
 
+def test_rates_are_those_of_a_dense_solution(spark):
+    rng = np.random.default_rng(4)
+    docs = [(i, " ".join(rng.choice([f"{d}{k}" for k in range(9)] + ["x", "y"], rng.integers(3, 40))), d) for i, d in enumerate("ab" * 30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    for least, want in ((0.0, {"a": 3, "b": 1}), (1.0, {"a": 4, "b": 1})):  # in reach, and out of it
+        mixer = mixing.Mixer(df, mixing.fit_domains(df, "doc_id", "text", "lang"), least_rate=least).fit(mixing.weights_of_total(want))
+        rows = mixer.rated().collect()
+        tokens, p = np.array([r.tokens for r in rows], float), np.array([list(r.posterior) for r in rows])
+        base = tokens @ p
+        a = p * tokens[:, None] / np.sqrt(base)
+        goal = mixer.targets / np.sqrt(base)
+        dense = np.full(len(rows), 1.0)
+        for _ in range(20_000):
+            dense = np.maximum(least, dense - a @ (dense @ a - goal) / np.linalg.norm(a, 2) ** 2)
+        cost = lambda r: float(((r @ a - goal) ** 2).sum())
+        assert mixer.converged and mixer.met == (least == 0.0)
+        assert cost(np.array([r.rate for r in rows])) <= cost(dense) + 1e-4 * float((goal**2).sum())
+
+
+def test_samples_hold_a_row_for_each_key(spark):
+    docs = spark.createDataFrame([(7, f"w{i}", "en") for i in range(500)] + [(8, "v", "fr")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int")
+    assert quality.labelled_sample(docs, labels, "doc_id", "text", "quality", 10).count() == 2
+
+
 def test_mixing_without_labels_has_one_domain(spark):
     df = spark.createDataFrame([(1, "a b", None)], "doc_id long, text string, lang string")
     model = mixing.fit_domains(df, "doc_id", "text", "lang")
