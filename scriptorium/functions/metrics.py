@@ -18,37 +18,34 @@ SUSPICIOUS_HIGH, SUSPICIOUS_LOW, VOWEL_POOR_HIGH, PIPES_MANY, SUSPICIOUS_PIPES =
 LEAST_LATIN, LEAST_TOKENS, FEW_DEVANAGARI = 12, 12, 20
 
 
-def is_latin(token: Column) -> Column:
-    return token.rlike("[A-Za-z]")
-
-
-def is_suspicious(token: Column) -> Column:
-    return token.rlike(P.SUSPICIOUS)
-
-
 def is_vowel_poor(token: Column) -> Column:
     """At least four letters, of which less than a fifth are Latin vowels."""
     letters = P.characters(token, r"\p{L}")
     return (letters >= 4) & (P.characters(token, "aeiouAEIOU") * 5 < letters)
 
 
-def token_counts(tokens: Column) -> Column:
-    """Struct of counts over an array of tokens, which is walked once for the Latin ones."""
-    latin = F.filter(tokens, is_latin)
-    return F.struct(
-        F.size(tokens).cast("long").alias("tokens"),
-        F.size(latin).cast("long").alias("latin"),
-        F.size(F.filter(latin, is_suspicious)).cast("long").alias("suspicious"),
-        F.size(F.filter(latin, is_vowel_poor)).cast("long").alias("vowel_poor"),
-        F.size(F.filter(tokens, lambda t: t != "|")).cast("long").alias("content"),
-        F.size(F.filter(tokens, lambda t: (F.char_length(t) == 1) & (t != "|"))).cast("long").alias("single"),
-    )
+def token_counts(text: Column) -> Column:
+    """Struct of counts of the tokens of a text, by patterns over the whole of it; only consonantal tokens are looked at one by one."""
+
+    def counted(t: Column) -> Column:
+        tokens = P.occurrences(t, P.WORD)
+        return F.struct(
+            tokens.alias("tokens"),
+            P.occurrences(t, P.LATIN_WORD).alias("latin"),
+            P.occurrences(t, P.SUSPICIOUS_WORD).alias("suspicious"),
+            F.size(F.filter(F.regexp_extract_all(t, F.lit(P.CONSONANTAL_WORD), F.lit(0)), is_vowel_poor)).cast("long").alias("vowel_poor"),
+            (tokens - F.when(F.contains(t, F.lit("|")), P.occurrences(t, P.PIPE_WORD)).otherwise(F.lit(0))).alias("content"),
+            P.occurrences(t, P.SINGLE_WORD).alias("single"),
+        )
+
+    # bound to a name, so that white space is made plain once and the struct is not taken apart into six such steps
+    return F.element_at(F.transform(F.array(P.plainly_spaced(text)), counted), 1)
 
 
 def pipe_heavy_lines(text: Column) -> Column:
     """Lines with at least two pipes between values, enclosing ones not counted."""
     inner = F.transform(P.lines(text), lambda x: F.regexp_replace(P.stripped(x), r"^\|+|\|+$", ""))
-    return F.size(F.filter(inner, lambda x: P.characters(x, "|") >= 2)).cast("long")
+    return F.when(F.contains(text, F.lit("|")), F.size(F.filter(inner, lambda x: P.characters(x, "|") >= 2))).otherwise(F.lit(0)).cast("long")
 
 
 def matra_damage(text: Column) -> Column:
@@ -163,36 +160,54 @@ IKAR_MATRA = r"\x{93F}(?=[\x{93E}-\x{944}\x{947}\x{948}\x{94B}\x{94C}])"
 IKAR_NASAL = r"(?<![\x{915}-\x{939}\x{93C}\x{94D}])\x{93F}(?=[\x{901}-\x{903}])"
 HALANT_IKAR = r"\x{94D}\x{93F}"
 DOUBLET = r"([\x{915}-\x{939}])\1"
+#: spellings that wrong maps leave behind
+ARTIFACTS = "ख्ज|अधध|धिरूद्ध|धिरुद्ध|प्रविधध|राविय|नम्िर|िडा|ितन|उज्वल|उज्जवल"
+# fixed values: words that have a doubled consonant inside, and suffixes that make one where they follow a stem
+DOUBLED_LEXEMES = (
+    "व्यय", "कक्षा", "अध्ययन", "तत्काल", "ललितपुर", "ससुरा", "बबरमहल", "उत्खनन", "जज", "ननाघे", "तत्सम", "सम्ममा", "ससर्त", "छैनन्", "तहहरु", "कार्ययोजना",
+)
+STEM_SUFFIXES = ("को", "मा", "ता", "ताको", "ताले", "तामा", "सँग", "सङ्ग", "हरु", "हरू", "रेट", "योजना")
 
 
-def explained_doublets(text: Column, lexemes: Sequence[str], suffixes: Sequence[str]) -> Column:
+def explained_doublets(text: Column, lexemes: Sequence[str] = DOUBLED_LEXEMES, suffixes: Sequence[str] = STEM_SUFFIXES) -> Column:
     """Doubled consonants that morphology explains, by word.
 
     A doublet is explained inside a listed lexeme, or where its second half opens a
     listed suffix after a stem of at least two characters.
     """
-    words = F.regexp_extract_all(text, F.lit(f"[{P.DEVANAGARI}]+"), F.lit(0))
-    lexeme_at = [(x, i) for x in lexemes for i in range(len(x) - 1) if x[i] == x[i + 1]]
+    words = F.filter(F.regexp_extract_all(text, F.lit(f"[{P.DEVANAGARI}]+"), F.lit(0)), lambda w: w.rlike(DOUBLET))
+    lexeme_at = [(x, i + 1) for x in lexemes for i in range(len(x) - 1) if x[i] == x[i + 1]]
 
     def explained(word: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(word) - 1, F.lit(1))), lambda i: F.substring(word, i, F.lit(1)) == F.substring(word, i + 1, F.lit(1)))
-        places = F.filter(places, lambda i: F.substring(word, i, F.lit(1)).rlike(r"[\x{915}-\x{939}]"))
-        def known(i: Column) -> Column:
-            inside = [F.substring(word, i - k, F.lit(len(x))) == x for x, k in lexeme_at]
-            # a stem ends with the first half, and has two characters from the second place on
-            opens = [F.substring(word, i + 1, F.lit(len(s))) == s for s in suffixes]
-            first = F.lit(False)
-            for c in inside:
-                first = first | c
-            second = F.lit(False)
-            for c in opens:
-                second = second | c
-            return first | ((i >= 2) & second)
-        return F.size(F.filter(places, known))
+        # cut between the halves of each doublet; a piece ends where the first half does
+        pieces = F.split(F.regexp_replace(word, DOUBLET, "$1\u0000$1"), "\u0000")
+        ends = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: F.char_length(F.array_join(F.slice(pieces, 1, k), "")))
+
+        def known(end: Column) -> Column:
+            found = F.lit(False)
+            for x, k in lexeme_at:
+                found = found | ((end >= k) & (F.substring(word, end - k + 1, F.lit(len(x))) == x))
+            for s in suffixes:  # a stem has two characters at least
+                found = found | ((end >= 2) & (F.substring(word, end + 1, F.lit(len(s))) == s))
+            return found
+
+        return F.size(F.filter(ends, known))
 
     return F.aggregate(F.transform(words, explained), F.lit(0), lambda a, n: a + n).cast("long")
 
 
+def unexplained_doublets(text: Column) -> Column:
+    return F.when(text.rlike(DOUBLET), doublets(text) - explained_doublets(text)).otherwise(F.lit(0)).cast("long")
+
+
+def has_severe_noise(text: Column) -> Column:
+    """Whether a line holds any sign that only damage leaves."""
+    found = text.rlike(rf"[\x{{FFFD}}{P.PRIVATE_USE}{INVALID_SIGNS}]")
+    for p in (PREFIX_IKAR, IKAR_MATRA, IKAR_NASAL, HALANT_IKAR):
+        found = found | text.rlike(p)
+    return found
+
+
 def text_penalty(text: Column, unexplained_doublets: Column) -> Column:
     return (
         P.characters(text, r"\x{FFFD}") * REPLACEMENT_COST
@@ -203,6 +218,7 @@ def text_penalty(text: Column, unexplained_doublets: Column) -> Column:
         + P.occurrences(text, IKAR_NASAL) * IKAR_NASAL_COST
         + P.occurrences(text, HALANT_IKAR) * HALANT_IKAR_COST
         + unexplained_doublets * DOUBLET_COST
+        + P.occurrences(text, ARTIFACTS) * ARTIFACT_COST
     )
 
 
@@ -215,30 +231,43 @@ def stranded_brackets(text: Column) -> Column:
     return P.occurrences(text, rf"(?<=[{P.LETTER_GAP}])[()\[\]{{}}](?=[{P.LETTER_GAP}])")
 
 
-def validity(text: Column, vocabulary: Sequence[str], attested: Sequence[str], unexplained: Column | None = None) -> Column:
-    """Struct of the axes on which decodings of one font compete.
+def validity_parts(text: Column, vocabulary: Sequence[str], attested: Sequence[str], unexplained: Column | None = None) -> Column:
+    """Struct of what ``validity`` takes of each piece of a font's text; pieces end at line ends."""
+    doubled = unexplained_doublets(text) if unexplained is None else unexplained
+    bare = F.transform(P.tokens(text), lambda t: F.regexp_replace(t, r"^[\x{964}\x{965}]+|[\x{964}\x{965}]+$", ""))
+    return F.struct(
+        F.array(*[F.contains(text, F.lit(w)) for w in vocabulary]).cast("array<boolean>").alias("hits"),
+        P.characters(text, P.DEVANAGARI).alias("devanagari"), P.occurrences(text, r"[\P{Z}&&[^\s]]").alias("solid"), text_penalty(text, doubled).alias("whole"), doubled.alias("doubled"),
+        P.occurrences(text, IKAR_NASAL).alias("ikar_nasal"), stranded_brackets(text).alias("stranded"),
+        F.array(*[F.array_contains(bare, w) for w in attested]).cast("array<boolean>").alias("attested"),
+    )
+
+
+def validity(parts: Column, vocabulary: Sequence[str], attested: Sequence[str]) -> Column:
+    """Aggregate over ``validity_parts``: a struct of the axes on which decodings of one font compete.
 
     ``vocabulary`` words count as substrings, ``attested`` ones as distinct whole tokens
     (dandas stripped).  The penalty per Devanagari character takes the whole penalty; the
-    ranking penalty forgives one doublet.
+    ranking penalty forgives one doublet.  Everything is a sum or a maximum, so a font's
+    text is never gathered in one place.
     """
-    doubled = doublets(text) if unexplained is None else unexplained
-    devanagari = P.characters(text, P.DEVANAGARI)
-    whole = text_penalty(text, doubled)
-    hits = F.lit(0).cast("long")
-    for w in vocabulary:
-        hits = hits + F.contains(text, F.lit(w)).cast("long")
-    bare = F.array_distinct(F.transform(P.tokens(text), lambda t: F.regexp_replace(t, r"^[\x{964}\x{965}]+|[\x{964}\x{965}]+$", "")))
-    solid = P.occurrences(text, r"[\P{Z}&&[^\s]]")
+    total = lambda c: F.coalesce(F.sum(parts[c]), F.lit(0)).cast("long")
+
+    def any_of(name: str, words: Sequence[str]) -> Column:
+        count = F.lit(0)
+        for i in range(len(words)):
+            count = count + F.coalesce(F.max(F.get(parts[name], F.lit(i))), F.lit(False)).cast("int")
+        return count.cast("long")
+
     return F.struct(
-        hits.alias("hits"),
-        devanagari.alias("devanagari"),
-        ratio(devanagari, solid).alias("ratio"),
-        (whole - F.least(doubled, F.lit(1)) * DOUBLET_COST).alias("penalty"),
-        ratio(whole, devanagari).alias("penalty_per_deva"),
-        P.occurrences(text, IKAR_NASAL).alias("ikar_nasal"),
-        stranded_brackets(text).alias("stranded"),
-        F.size(F.array_intersect(bare, F.array(*map(F.lit, attested)))).cast("long").alias("attested"),
+        any_of("hits", vocabulary).alias("hits"),
+        total("devanagari").alias("devanagari"),
+        ratio(total("devanagari"), total("solid")).alias("ratio"),
+        (total("whole") - F.least(total("doubled"), F.lit(1)) * DOUBLET_COST).alias("penalty"),
+        ratio(total("whole"), total("devanagari")).alias("penalty_per_deva"),
+        total("ikar_nasal").alias("ikar_nasal"),
+        total("stranded").alias("stranded"),
+        any_of("attested", attested).alias("attested"),
     )
 
 

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 # fixed values: Unicode white space, as members of a class
 SPACES = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+OTHER_SPACES = SPACES.replace(r"\x{1C}-\x{20}", r"\x{1C}-\x{1F}")
 SPACE = f"[{SPACES}]"
+SPACE_CHARACTERS = "".join(chr(c) for first, last in ((0x9, 0xD), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)) for c in range(first, last + 1))
 TOKEN = f"[^{SPACES}]+"
 #: what ends a line: \n, \r\n, \r, \v, \f, FS, GS, RS, NEL, LS, PS
 LINE_END = r"\r\n|[\n\r\x{B}\x{C}\x{1C}\x{1D}\x{1E}\x{85}\x{2028}\x{2029}]"
@@ -32,6 +34,15 @@ LETTER_GAP = r"\x{900}-\x{963}\x{970}-\x{97F}"
 SUSPICIOUS = r"[\\\[\]{}$^&*_+=<>]|[A-Za-z][0-9]|[0-9][A-Za-z]"
 CID = r"\(cid:[0-9]+\)"
 
+# tokens within a text whose white space is all plain: a class of one character is much cheaper than one of all spaces
+WORD = "[^ ]+"
+STARTS, ENDS = "(?<![^ ])", "(?![^ ])"
+LATIN_WORD = f"{STARTS}[^ A-Za-z]*+[A-Za-z]"
+SUSPICIOUS_WORD = f"{STARTS}(?=[^ A-Za-z]*+[A-Za-z])[^ ]*?(?:{SUSPICIOUS})"
+#: three letters in a row that are no Latin vowels, marks between them not counted: any token with less than a fifth of vowels has that
+CONSONANTAL_WORD = rf"{STARTS}(?=[^ A-Za-z]*+[A-Za-z])[^ ]*?(?:[\p{{L}}&&[^aeiouAEIOU]][^\p{{L}} ]*+){{3}}[^ ]*+"
+PIPE_WORD, SINGLE_WORD = rf"{STARTS}\|{ENDS}", rf"{STARTS}[^| ]{ENDS}"
+
 
 def occurrences(text: Column, pattern: str) -> Column:
     """How often a pattern matches."""
@@ -43,18 +54,23 @@ def characters(text: Column, members: str) -> Column:
     return (F.char_length(text) - F.char_length(F.regexp_replace(text, F.lit(f"[{members}]"), F.lit("")))).cast("long")
 
 
+def plainly_spaced(text: Column) -> Column:
+    """With a space in place of each other character of white space."""
+    return F.regexp_replace(text, F.lit(f"[{OTHER_SPACES}]"), F.lit(" "))
+
+
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(plainly_spaced(text), F.lit(WORD), F.lit(0))
 
 
 def stripped(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, F.lit(f"^{SPACE}+|{SPACE}+$"), F.lit(""))
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def collapsed(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return stripped(F.regexp_replace(text, F.lit(f"{SPACE}+"), F.lit(" ")))
+    return F.btrim(F.regexp_replace(plainly_spaced(text), F.lit("  +"), F.lit(" ")))
 
 
 def lines(text: Column) -> Column:

@@ -14,6 +14,10 @@ DANDA = "।"
 
 # ---- normalising ------------------------------------------------------------------------
 
+# fixed values: what opens a list item of a press release, and its title
+LEADING_SYMBOL = r"[\x{FFFD}\x{2022}\x{25AA}\x{27A2}\x{F020}-\x{F0FF}\x{F0000}-\x{FFFFD}]"
+PRESS_TITLE, PRESS_NOTE = "प्रेस", "विज्ञ"
+
 
 def normalize_line(text: Column) -> Column:
     """White space collapsed, none before a danda, comma, colon or semicolon."""
@@ -21,9 +25,12 @@ def normalize_line(text: Column) -> Column:
 
 
 def normalize_press_line(text: Column) -> Column:
-    """A leading glyph that could not be decoded, or a bullet, becomes a dash; then as any line."""
-    dashed = F.regexp_replace(text, rf"^{P.SPACE}*[{P.PRIVATE_USE}\x{{FFFD}}\x{{2022}}\x{{25CF}}\x{{25AA}}]{P.SPACE}+", "- ")
-    return normalize_line(dashed)
+    """A leading bullet or symbol-font glyph becomes a dash, then as any line; the title of a press release in one spelling.
+
+    The reordering markers U+F000 and U+F001 are no symbols and stay.
+    """
+    line = normalize_line(F.regexp_replace(text, rf"^{LEADING_SYMBOL}(?={P.SPACE})", "-"))
+    return F.when(line.rlike(rf"^{PRESS_TITLE}{P.SPACE}+{PRESS_NOTE}[^{P.SPACES}]*$"), f"{PRESS_TITLE} {PRESS_NOTE}प्ति").otherwise(line)
 
 
 def fix_devanagari_spacing(text: Column) -> Column:
@@ -216,8 +223,8 @@ def is_page_furniture(text: Column, header: str) -> Column:
     return chapter | (F.contains(tight, F.lit("".join(header.split()))) if header else F.lit(False)) | tight.rlike(r"^[0-9\x{966}-\x{96F}]{1,3}$")
 
 
-SUBJECT = r"^\s*(?:\x{935}\x{93F}\x{937}\x{92F}|Subject|Re)\s*[:\x{903}\-]"
-DATE_LINE = r"^\s*(?:\x{92E}\x{93F}\x{924}\x{93F}|Date)\s*[:\x{903}\-]?"
+# fixed values: words before the subject and the date of a letter, each with a misreading
+SUBJECT, DATE_LINE = f"(?:विषय|मिषय){P.SPACE}*:", f"(?:मिति|मिमि){P.SPACE}*:"
 
 
 def is_subject_line(text: Column) -> Column:
@@ -237,21 +244,15 @@ def is_noise_only(text: Column) -> Column:
     return tight.rlike(NOISE_ONLY)
 
 
-SEVERE = [r"\x{FFFD}", rf"[{P.PRIVATE_USE}]", r"\(cid:[0-9]+\)", r"\x{94D}\x{93F}", r"[\x{93E}-\x{94C}]{3,}", r"[{}\\^~]", r"[A-Za-z][\x{900}-\x{97F}][A-Za-z]"]
-
-
-def has_severe_noise(text: Column) -> Column:
-    found = F.lit(False)
-    for p in SEVERE:
-        found = found | text.rlike(p)
-    return found
+# fixed values: signs and letters that the test of well-formed words looks at
+WORD_SIGNS, WORD_MARKS, WORD_VOWELS = r"\x{93A}\x{93B}\x{93E}-\x{94C}\x{94E}\x{94F}\x{962}\x{963}", r"\x{900}-\x{903}\x{93A}-\x{94F}\x{951}-\x{957}\x{962}\x{963}", r"\x{905}-\x{914}\x{960}\x{961}"
 
 
 def is_wellformed_word(word: Column) -> Column:
-    """Devanagari only, begins with a letter, ends no cluster on a virama, no mark astray or twice."""
+    """Devanagari and spaces only, no mark first, no virama last or before a sign, no two signs together, no vowel letter but first."""
     return (
-        word.rlike(rf"^[{P.DEVANAGARI}{P.JOINERS}]+$") & word.rlike(rf"^[{P.CONSONANTS}{P.INDEPENDENT_VOWELS}]") & ~word.rlike(r"\x{94D}$")
-        & ~word.rlike(rf"[{P.MATRAS}]{{2}}") & ~word.rlike(rf"\x{{94D}}[{P.MATRAS}{P.SIGNS}]") & ~word.rlike(rf"[{P.INDEPENDENT_VOWELS}][{P.MATRAS}]")
+        word.rlike(rf"^[{P.DEVANAGARI} ]+$") & ~word.rlike(rf"^[{WORD_MARKS}]") & ~word.rlike(r"\x{94D}$") & ~word.rlike(rf"^[\s\S]+[{WORD_VOWELS}]")
+        & ~word.rlike(rf"\x{{94D}}[{WORD_SIGNS}]") & ~word.rlike(rf"[{WORD_SIGNS}]{{2}}")
     )
 
 
@@ -288,7 +289,7 @@ def is_two_decimal_join(text: Column) -> Column:
 
 def normalize_date(text: Column) -> Column:
     """YYYY-MM-DD of a date in either digit script, as a string (months may have 32 days); null if there is none."""
-    pattern = r"([0-9]{4})\s*[\x{964}./-]\s*([0-9]{1,2})\s*[\x{964}./-]\s*([0-9]{1,2})"
+    pattern = rf"([0-9]{{4}})[\x{{964}}./-]{P.SPACE}*([0-9]{{1,2}})[\x{{964}}./-]{P.SPACE}*([0-9]{{1,2}})"
     digits = F.translate(text, DEVANAGARI_DIGITS, ASCII_DIGITS)
     part = lambda i: F.regexp_extract(digits, pattern, i)
     return F.when(part(1) != "", F.concat(part(1), F.lit("-"), F.lpad(part(2), 2, "0"), F.lit("-"), F.lpad(part(3), 2, "0")))
@@ -302,18 +303,20 @@ def guarded_number(raw: Column, decoded: Column, reads_digits: bool) -> Column:
 # ---- headings, lists, anchors -----------------------------------------------------------
 
 
-LIST_MARKER = r"^\s*((?:[-*\x{2022}])|(?:\(?[0-9\x{966}-\x{96F}]{1,3}[.)]))\s+"
+# fixed values: a bullet, or a number or one letter with a stop or bracket, before a body on one line
+LIST_MARKER = rf"^([-*\x{{2022}}]|\p{{Nd}}+[.)]|[A-Za-z][.)]){P.SPACE}+[^\n]+$"
 
 
 def list_marker(text: Column) -> Column:
-    m = F.regexp_extract(text, LIST_MARKER, 1)
+    m = F.regexp_extract(P.stripped(text), LIST_MARKER, 1)
     return F.when(m != "", m)
 
 
 def heading_level(text: Column, ordinal: Column) -> Column:
-    """1 for a heading that opens a document, 2 for a short unpunctuated line, null for text."""
-    short = (F.char_length(text) <= 120) & ~text.rlike(r"[.!?,;:\x{964}]\s*$") & list_marker(text).isNull()
-    return F.when(short & (ordinal == 0), 1).when(short & (F.size(P.tokens(text)) <= 10), 2)
+    """1 for a heading that opens a document, 2 for a short line that ends in no stop, null for text."""
+    line = P.stripped(text)
+    able = (line != "") & (F.char_length(line) <= 120) & list_marker(line).isNull()
+    return F.when(able & (ordinal == 0), 1).when(able & ~line.rlike(r"[\x{964}.?!:]$") & (F.size(P.tokens(line)) <= 10), 2)
 
 
 def caption_key(text: Column) -> Column:
@@ -345,7 +348,7 @@ def degraded_marker(error: Column) -> Column:
 
 def stamp_degraded(text: Column, error: Column) -> Column:
     """Only a failure for want of resources is stamped."""
-    return F.when(error.isin("MemoryError", "OSError"), F.concat(degraded_marker(error), F.lit("\n"), text)).otherwise(text)
+    return F.when(error.isin("MemoryError", "OSError"), F.concat(degraded_marker(error), F.lit("\n\n"), text)).otherwise(text)
 
 
 def degraded_error(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from .lineage import checkpointed
 
 RA_VIRAMA, VIRAMA_RA, IKAR = "र्", "्र", "ि"
 REPHA_MARK, IKAR_MARK = "", ""
@@ -96,7 +97,7 @@ def ligature_closure(known: DataFrame, rules: DataFrame, key: str = "font") -> D
         made = found.filter(F.size("_t") == F.col("_n")).select(key, "rule", F.col("_lig").alias("glyph"), F.array_join(F.transform("_t", lambda s: s["text"]), "").alias("text"))
         first = made.groupBy(key, "glyph").agg(F.min_by("text", "rule").alias("text")).join(current, [key, "glyph"], "left_anti")
         both = current.unionByName(first)
-        current = both.checkpoint() if both.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else both.localCheckpoint()
+        current = checkpointed(both)
         now = current.count()
         if now == size:
             break

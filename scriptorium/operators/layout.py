@@ -115,7 +115,8 @@ def reading_order(fragments: DataFrame) -> DataFrame:
 
 def paragraphs(fragments: DataFrame, order: str = "ord") -> DataFrame:
     """(doc_id, paragraph, page_number, text): lines merged, then split at pages and wide gaps."""
-    said = fragments.withColumn("text", P.stripped(F.col("text"))).filter("text != ''")
+    # dealt by document once: all the narrower keys below are met by that
+    said = fragments.withColumn("text", P.stripped(F.col("text"))).filter("text != ''").repartition("doc_id")
     sized = said.withColumn("_h", line_height(F.median(F.col("y1") - F.col("y0")).over(W.partitionBy("doc_id"))))
     heights = sized.groupBy("doc_id").agg(F.first("_h").alias("_h"))
     lined = anchored_lines(said, PAGE, [order], "_line")

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import patterns as P
-from ..functions import text as X
 
 LINE = ("doc_id", "page_number", "block_number", "line_number")
 
 
 def penalty(text: Column) -> Column:
-    return M.text_penalty(text, M.doublets(text))
+    plain = F.octet_length(text) == F.char_length(text)  # ASCII has nothing that is charged
+    return F.when(plain, F.lit(0)).otherwise(M.text_penalty(text, M.unexplained_doublets(text))).cast("long")
 
 
 def better_token(a: Column, b: Column) -> Column:
@@ -30,12 +30,15 @@ def best_text(original: Column, repaired: Column) -> Column:
     The last only competes if either side is noisy and both have as many tokens.  Least
     penalty wins, then that order, then length.
     """
-    a, b = P.tokens(original), P.tokens(repaired)
-    mixed = F.array_join(F.zip_with(a, b, better_token), " ")
-    usable = (X.has_severe_noise(original) | X.has_severe_noise(repaired)) & (F.size(a) == F.size(b)) & (mixed != original) & (mixed != repaired)
-    key = lambda t, rank: F.struct(penalty(t).alias("penalty"), F.lit(rank).alias("rank"), (-F.char_length(t)).alias("length"), t.alias("text"))
-    options = F.array(key(repaired, 1), key(original, 2), F.when(usable, key(mixed, 0)))
-    return F.array_min(F.array_compact(options))["text"]
+    noisy = M.has_severe_noise(original) | M.has_severe_noise(repaired)
+    tokens = F.when(noisy, F.struct(P.tokens(original).alias("a"), P.tokens(repaired).alias("b")))
+    mixed = F.when(F.size(tokens["a"]) == F.size(tokens["b"]), F.array_join(F.zip_with(tokens["a"], tokens["b"], better_token), " "))
+    key = lambda t, rank: F.struct(penalty(t).alias("penalty"), rank.alias("rank"), (-F.char_length(P.stripped(t))).alias("length"), t.alias("text"))
+    option = lambda t, rank: F.struct(t.alias("text"), F.lit(rank).alias("rank"))
+    competes = lambda o: (o["rank"] > 0) | ((o["text"] != original) & (o["text"] != repaired))
+    # bound to one name each, so that nothing is computed twice
+    options = F.transform(F.filter(F.array(option(repaired, 1), option(original, 2), option(mixed, 0)), competes), lambda o: key(o["text"], o["rank"]))
+    return F.when(original == repaired, original).otherwise(F.array_min(options)["text"])
 
 
 def merge_variants(original: DataFrame, repaired: DataFrame, key: Sequence[str] = LINE) -> DataFrame:
@@ -54,8 +57,9 @@ def merge_variants(original: DataFrame, repaired: DataFrame, key: Sequence[str]
     joined = a.join(b, same, "full_outer")
     pick = lambda c: F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c)
     text = F.when(F.col("a.text").isNotNull() & F.col("b.text").isNotNull(), best_text(F.col("a.text"), F.col("b.text"))).otherwise(F.coalesce("a.text", "b.text"))
-    out = joined.select(*map(pick, by), *map(pick, ("ord", "x0", "y0", "x1", "y1")), text.alias("text"), (F.col("a.text").isNotNull() & F.col("b.text").isNotNull()).alias("matched"))
-    return out.filter(F.col("matched") | ~M.garbled_orphan(F.col("text")))
+    matched = F.col("a.text").isNotNull() & F.col("b.text").isNotNull()
+    kept = joined.filter(matched | ~M.garbled_orphan(F.coalesce("a.text", "b.text")))
+    return kept.select(*map(pick, by), *map(pick, ("ord", "x0", "y0", "x1", "y1")), text.alias("text"), matched.alias("matched"))
 
 
 def merge_order() -> list[Column]:

@@ -222,11 +222,16 @@ def draws_reference_digits(signatures: DataFrame, reference: DataFrame, near: in
     return votes.select("font", F.when(F.col("readable") >= enough, F.col("alike") >= enough).alias("verdict"))
 
 
+MOST_MARKS = 1000
+
+
 def nearest_mark(glyphs: DataFrame, marks: DataFrame, most: int = 350) -> DataFrame:
     """The mark whose feature vector is nearest by L1, the first of equals; farther than ``most``: none.
 
-    ``marks`` (ord, mark, feature) are the handful of candidate vowel signs of a font.
+    ``marks`` (ord, mark, feature) are the handful of candidate vowel signs of a font: at most ``MOST_MARKS``.
     """
+    if marks.limit(MOST_MARKS + 1).count() > MOST_MARKS:
+        raise ValueError(f"more than {MOST_MARKS} marks")
     distance = F.aggregate(F.zip_with("feature", "_mf", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, d: s + d)
     pairs = glyphs.join(marks.select(F.col("ord").alias("_mo"), "mark", F.col("feature").alias("_mf")), how="cross").withColumn("distance", distance)
     best = pairs.groupBy("glyph").agg(F.min_by(F.struct("mark", "distance"), F.struct("distance", "_mo")).alias("b"))

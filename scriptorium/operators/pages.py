@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ def image_coverage(pages: DataFrame, images: DataFrame) -> DataFrame:
 def analyze_pages(pages: DataFrame, text: str = "text") -> DataFrame:
     """Adds the text profile of each page and what follows from it; needs max_image_coverage."""
     t = F.coalesce(F.col(text), F.lit(""))
-    counted = pages.withColumn("_c", M.token_counts(P.tokens(t)))
+    counted = pages.withColumn("_c", M.token_counts(t))
     c = F.col("_c")
     profiled = counted.withColumns({
         "text_length": F.char_length(P.stripped(t)).cast("long"), "token_count": c["tokens"], "devanagari_char_count": P.characters(t, P.DEVANAGARI),
@@ -76,6 +78,12 @@ def uses_repair_fonts(fonts: DataFrame) -> DataFrame:
     return fonts.filter(F.col("strategy") != "correct").select("doc_id").distinct()
 
 
+def judged_decodings(decodings: DataFrame, key: list[str], vocabulary: Sequence[str], attested: Sequence[str]) -> DataFrame:
+    """(key, map_key, validity) of (key, map_key, decoded): pieces of a font's text are judged where they are, and the counts summed."""
+    parts = decodings.withColumn("_v", M.validity_parts(F.col("decoded"), vocabulary, attested))
+    return parts.groupBy(*key, "map_key").agg(M.validity(F.col("_v"), vocabulary, attested).alias("validity"))
+
+
 def choose_maps(decodings: DataFrame, key: list[str]) -> DataFrame:
     """(key, map_key, tied): the keymap whose decoding ranks best, and all that tie with it; none passes the gate: no row.
 

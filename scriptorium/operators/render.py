@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions import text as X
@@ -58,15 +60,37 @@ def blocks_markdown(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     return rendered.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_t"))), lambda s: s["_t"]), "\n\n").alias("markdown"))
 
 
+def _named(rows: pd.DataFrame) -> pd.DataFrame:
+    """One family of stems in order: each takes the first name that is free."""
+    taken, following, out = set(rows["name"].dropna()), {}, []
+    for stem in rows[rows["name"].isna()].sort_values("_order")["stem"]:
+        n = following.get(stem, 1)
+        while (name := stem if n == 1 else f"{stem}-{n}") in taken:
+            n += 1
+        following[stem] = n
+        taken.add(name)
+        out.append(name)
+    given = rows[rows["name"].isna()].sort_values("_order")
+    return given.assign(name=out)[["directory", "_order", "name"]]
+
+
 def output_names(files: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """(directory, stem, ord) with ``name``: the stem, with -2, -3, … where it is taken in its directory.
+    """Files (directory, stem, ord, …) with ``name``: the stem, with -2, -3, … until it is free in its directory.
 
-    ``existing`` (directory, name) are stems already there.
+    ``existing`` (directory, name) are names already there.  An empty stem is "document".
+    ``ord`` is unique in a directory.  Only stems alike but for numbers at their end can
+    want one name: such a family with one stem is numbered as a window, and one with
+    several (or with names already there) in one pass over it.
     """
-    before = F.lit(0).cast("long")
-    if existing is not None:
-        used = existing.groupBy("directory", F.regexp_replace("name", r"-[0-9]+$", "").alias("stem")).agg(F.count_distinct("name").alias("_used"))
-        files = files.join(used, ["directory", "stem"], "left")
-        before = F.coalesce("_used", F.lit(0))
-    n = F.row_number().over(W.partitionBy("directory", "stem").orderBy("ord")) + before
-    return files.withColumn("name", F.when(n == 1, F.col("stem")).otherwise(F.concat_ws("-", "stem", n.cast("string")))).drop("_used")
+    family = lambda c: F.regexp_replace(c, r"(?:-[0-9]+)+$", "")
+    rows = files.select("directory", F.when(F.col("stem") == "", "document").otherwise(F.col("stem")).alias("stem"), F.col("ord").alias("_order"), F.lit(None).cast("string").alias("name"))
+    there = rows.limit(0) if existing is None else existing.select("directory", F.col("name").alias("stem"), F.lit(None).cast(rows.schema["_order"].dataType).alias("_order"), "name")
+    every = rows.unionByName(there).withColumn("_family", family(F.col("stem")))
+    kinds = every.groupBy("directory", "_family").agg((F.min("stem") == F.max("stem")).alias("_one"), F.count("name").alias("_there"))
+    told = every.join(kinds, ["directory", "_family"])
+    alone = told.filter("_one AND _there = 0")
+    n = F.row_number().over(W.partitionBy("directory", "stem").orderBy("_order"))
+    numbered = alone.withColumn("name", F.when(n == 1, F.col("stem")).otherwise(F.concat_ws("-", "stem", n.cast("string")))).select("directory", "_order", "name")
+    schema = T.StructType([rows.schema["directory"], rows.schema["_order"], T.StructField("name", T.StringType())])
+    met = told.filter("NOT (_one AND _there = 0)").select("directory", "stem", "_order", "name", "_family").groupBy("directory", "_family").applyInPandas(_named, schema)
+    return files.join(numbered.unionByName(met).withColumnRenamed("_order", "ord"), ["directory", "ord"])

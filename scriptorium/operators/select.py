@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..functions import patterns as P
 from ..functions import text as X
 
 
 def scored_candidates(candidates: DataFrame) -> DataFrame:
     """Adds ``score`` to (doc_id, ord, text, …): the quality score without page anchors."""
     bare = candidates.withColumn("_t", X.strip_page_anchors(F.coalesce("text", F.lit(""))))
-    counted = bare.withColumn("_c", M.token_counts(P.tokens(F.col("_t"))))
+    counted = bare.withColumn("_c", M.token_counts(F.col("_t")))
     return counted.withColumn("score", M.quality_score(F.col("_t"), F.col("_c"))).drop("_t", "_c")
 
 

@@ -13,8 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of fewer splits than there are cores, as small files have, dealt to all cores; others stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", *more, F.coalesce("text", F.lit("")).alias("text")))
 
 
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:

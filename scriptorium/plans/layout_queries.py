@@ -51,14 +51,14 @@ SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id, run) >= 300
 
 
 def unmappable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-92: runs of characters that cannot be decoded (here: the letter e) in the first words of documents."""
-    d = documents(spark, sf_dir).select("doc_id", F.regexp_replace(F.left("text", F.lit(60)), "[aeiou]", "�").alias("t"))
+    """OP-92: runs of characters that cannot be decoded (here: the letter e) in documents."""
+    d = documents(spark, sf_dir).select("doc_id", F.regexp_replace("text", "[aeiou]", "�").alias("t"))
     chars = d.select("doc_id", F.posexplode(F.split("t", "")).alias("idx", "c")).select("doc_id", F.lit(0).alias("page"), F.lit(0).alias("block"), F.lit(0).alias("line"), F.lit(0).alias("span"), "idx", "c")
     return assemble.unmappable_runs(chars).select("doc_id", F.col("first").cast("long"), "length")
 
 
-UNMAPPABLE_RUNS = """WITH d AS (SELECT doc_id, regexp_replace(left(coalesce(text, ''), 60), '[aeiou]', chr(65533), 'g') AS t FROM documents),
-c AS (SELECT doc_id, i - 1 AS idx, substr(t, i, 1) AS c FROM d, LATERAL (SELECT unnest(range(1, length(t) + 1)) AS i)),
+UNMAPPABLE_RUNS = """WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[aeiou]', chr(65533), 'g') AS t FROM documents),
+c AS (SELECT doc_id, unnest(range(0, length(t))) AS idx, unnest(string_split(t, '')) AS c FROM d),
 r AS (SELECT doc_id, idx, idx - row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS grp FROM c WHERE c = chr(65533))
 SELECT doc_id, min(idx) AS first, count(*) AS length FROM r GROUP BY doc_id, grp"""
 
@@ -115,14 +115,14 @@ SELECT doc_id, paragraph, min(page_number)::INTEGER AS page_number, md5(string_a
 
 def document_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-177, OP-30: notice, two columns or neither."""
-    f = placed_fragments(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 10 == 3, F.regexp_replace("text", "^The ", "Re: ")).otherwise(F.col("text")))
+    f = placed_fragments(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 10 == 3, F.regexp_replace("text", "^The ", "पत्र विषय : ")).otherwise(F.col("text")))
     return layout.document_structure(f).select("doc_id", "layout")
 
 
-DOCUMENT_STRUCTURE = f"""WITH {PLACED}, f AS (SELECT * REPLACE (CASE WHEN doc_id % 10 = 3 THEN regexp_replace(text, '^The ', 'Re: ') ELSE text END AS text) FROM placed),
+DOCUMENT_STRUCTURE = f"""WITH {PLACED}, f AS (SELECT * REPLACE (CASE WHEN doc_id % 10 = 3 THEN regexp_replace(text, '^The ', 'पत्र विषय : ') ELSE text END AS text) FROM placed),
 p AS (SELECT *, greatest(max(x1) OVER w - min(x0) OVER w, 1.0) AS width, (max(x1) OVER w + min(x0) OVER w) / 2 AS middle, count(*) FILTER (y0 > 120) OVER w AS deep FROM (SELECT * FROM f QUALIFY page_number = min(page_number) OVER (PARTITION BY doc_id)) WINDOW w AS (PARTITION BY doc_id)),
 q AS (SELECT *, x1 - x0 <= width * 0.75 AND abs((x0 + x1) / 2 - middle) <= width * 0.12 AND y0 <= 220 AS top, CASE WHEN deep >= 3 THEN y0 > 120 ELSE true END AS in_body FROM p),
-n AS (SELECT doc_id, count(*) AS n, bool_or(regexp_matches(text, '^\\s*(विषय|Subject|Re)\\s*[:\\x{{903}}\\-]')) AS subject, bool_or(regexp_matches(text, '^\\s*(मिति|Date)\\s*[:\\x{{903}}\\-]?')) AS dated, count(*) FILTER (top) AS tops, bool_or(in_body AND coalesce(gap_before > 11.0 * 0.45, false)) AS gap FROM q GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n, bool_or(regexp_matches(text, '(विषय|मिषय){P.SPACE}*:')) AS subject, bool_or(regexp_matches(text, '(मिति|मिमि){P.SPACE}*:')) AS dated, count(*) FILTER (top) AS tops, bool_or(in_body AND coalesce(gap_before > 11.0 * 0.45, false)) AS gap FROM q GROUP BY doc_id),
 body AS (SELECT *, (min(x0) OVER w + max(x1) OVER w) / 2 AS split, (x0 + x1) / 2 AS c FROM f WHERE y0 > 80 WINDOW w AS (PARTITION BY doc_id)),
 votes AS (SELECT doc_id, count(*) AS body, count(*) FILTER (c <= split - 20) AS "left", count(*) FILTER (c >= split + 20) AS "right" FROM body GROUP BY doc_id)
 SELECT n.doc_id, CASE WHEN n >= 3 AND (subject OR (dated AND tops >= 2) OR (tops >= 3 AND gap)) THEN 'single-column-notice' WHEN coalesce({_TWO}, false) THEN 'two-column-layout' END AS layout FROM n LEFT JOIN votes USING (doc_id)"""
@@ -170,20 +170,20 @@ SELECT doc_id, md5(md) AS markdown_md5, {d_count('md', '<!-- page: ([0-9]+) -->'
 
 def variant_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-45, OP-62, OP-120: original lines against decoded and spacing-fixed ones, each side missing some."""
-    f = fragments(spark, sf_dir).filter("line_number < 12")
+    f = fragments(spark, sf_dir)
     left = f.filter("ord % 7 != 3")
     right = f.filter("ord % 5 != 2").withColumn("text", F.when(F.col("ord") % 2 == 0, F.replace("text", F.lit("e"), F.lit("�"))).otherwise(P.collapsed(F.replace("text", F.lit("ou"), F.lit("o")))))
     return merge.merge_variants(left, right).select("doc_id", F.col("line_number").cast("long").alias("line"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"), "matched")
 
 
 _PEN = lambda t: f"(12 * {d_chars(t, chr(92) + 'x{FFFD}')})"
-_SEV = lambda t: f"regexp_matches({t}, '\\x{{FFFD}}|\\(cid:[0-9]+\\)|[{{}}\\\\^~]')"
-VARIANT_MERGE = f"""WITH {FRAGMENTS}, f AS (SELECT * FROM frag WHERE line < 12), l AS (SELECT * FROM f WHERE line % 7 <> 3),
+_SEV = lambda t: f"regexp_matches({t}, '[\\x{{FFFD}}\\x{{E000}}-\\x{{F8FF}}\\x{{94A}}\\x{{929}}\\x{{931}}\\x{{934}}]|\\x{{94D}}\\x{{93F}}')"
+VARIANT_MERGE = f"""WITH {FRAGMENTS}, f AS (SELECT * FROM frag), l AS (SELECT * FROM f WHERE line % 7 <> 3),
 r AS (SELECT doc_id, line, CASE WHEN line % 2 = 0 THEN replace(text, 'e', chr(65533)) ELSE {d_collapse("replace(text, 'ou', 'o')")} END AS text FROM f WHERE line % 5 <> 2),
 j AS (SELECT coalesce(l.doc_id, r.doc_id) AS doc_id, coalesce(l.line, r.line) AS line, l.text AS a, r.text AS b FROM l FULL OUTER JOIN r ON l.doc_id = r.doc_id AND l.line = r.line),
 t AS (SELECT *, {d_tokens('a')} AS ta, {d_tokens('b')} AS tb FROM j),
 m AS (SELECT *, array_to_string(list_transform(list_zip(ta, tb), lambda z: CASE WHEN {_PEN('z[1]')} < {_PEN('z[2]')} THEN z[1] ELSE z[2] END), ' ') AS mix FROM t),
-o AS (SELECT *, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE
+o AS (SELECT *, CASE WHEN a IS NULL THEN b WHEN b IS NULL OR a = b THEN a ELSE
   list_sort(list_filter([{{'p': {_PEN('b')}, 'r': 1, 'l': -length(b), 't': b}}, {{'p': {_PEN('a')}, 'r': 2, 'l': -length(a), 't': a}}, CASE WHEN ({_SEV('a')} OR {_SEV('b')}) AND len(ta) = len(tb) AND mix <> a AND mix <> b THEN {{'p': {_PEN('mix')}, 'r': 0, 'l': -length(mix), 't': mix}} END], lambda s: s IS NOT NULL))[1].t END AS text FROM m)
 SELECT doc_id, line, md5(text) AS text_md5, (a IS NOT NULL AND b IS NOT NULL) AS matched FROM o WHERE (a IS NOT NULL AND b IS NOT NULL) OR NOT ({d_strip('text')} = '' OR {d_chars('text', chr(92) + 'x{FFFD}')} > 0)"""
 
@@ -200,8 +200,8 @@ SELECT doc_id, y0 FROM l WHERE n % 2 = 1 AND NOT EXISTS (SELECT 1 FROM l m WHERE
 
 def page_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-56, OP-57, OP-59: web pages as pages with an image each."""
-    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), F.left(F.coalesce("html", F.lit("")), F.lit(400)).alias("text"))
-    images = p.select("doc_id", "page", (F.char_length("text") * 1.0).alias("width"), F.lit(1.0).alias("height"), F.lit(400.0).alias("page_width"), F.lit(1.1).alias("page_height")).filter("doc_id % 5 != 0")
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), F.coalesce("html", F.lit("")).alias("text"))
+    images = p.select("doc_id", "page", (F.char_length("text") * 1.0).alias("width"), F.lit(1.0).alias("height"), F.lit(3000.0).alias("page_width"), F.lit(1.1).alias("page_height")).filter("doc_id % 5 != 0")
     a = pages.analyze_pages(pages.image_coverage(p, images))
     marker = pages.ocr_marker(F.col("max_image_coverage"), F.col("text"), F.col("doc_id") % 4, F.col("doc_id") % 3 == 0, F.col("devanagari_char_count"), F.col("suspicious_text_layer"))
     return a.select("doc_id", "image_count", F.round("max_image_coverage", 9).alias("coverage"), "token_count", "is_image_dominant", "suspicious_text_layer", "likely_needs_ocr", marker.alias("marker"))
@@ -209,8 +209,8 @@ def page_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SUS = r"regexp_matches(t, '[\\\[\]{}$^&*_+=<>]|[A-Za-z][0-9]|[0-9][A-Za-z]')"
 _POOR = f"{d_chars('t', chr(92) + 'pL')} >= 4 AND {d_chars('t', 'aeiouAEIOU')} * 5 < {d_chars('t', chr(92) + 'pL')}"
-_TRIAGE = f"""p AS (SELECT page_id AS doc_id, left(coalesce(html, ''), 400) AS text FROM pages),
-a AS (SELECT *, CASE WHEN doc_id % 5 <> 0 THEN 1 ELSE 0 END AS image_count, CASE WHEN doc_id % 5 <> 0 THEN length(text) * 1.0::DOUBLE / greatest(400.0::DOUBLE * 1.1::DOUBLE, 1.0) ELSE 0.0 END AS coverage, {d_tokens('text')} AS toks, {d_chars('text', P.DEVANAGARI)} AS deva FROM p),
+_TRIAGE = f"""p AS (SELECT page_id AS doc_id, coalesce(html, '') AS text FROM pages),
+a AS (SELECT *, CASE WHEN doc_id % 5 <> 0 THEN 1 ELSE 0 END AS image_count, CASE WHEN doc_id % 5 <> 0 THEN length(text) * 1.0::DOUBLE / greatest(3000.0::DOUBLE * 1.1::DOUBLE, 1.0) ELSE 0.0 END AS coverage, {d_tokens('text')} AS toks, {d_chars('text', P.DEVANAGARI)} AS deva FROM p),
 b AS (SELECT *, len(toks) AS token_count, list_filter(toks, lambda t: regexp_matches(t, '[A-Za-z]')) AS lat FROM a),
 c AS (SELECT *, CASE WHEN len(lat) > 0 THEN len(list_filter(lat, lambda t: {_SUS}))::DOUBLE / len(lat) ELSE 0.0 END AS s, CASE WHEN len(lat) > 0 THEN len(list_filter(lat, lambda t: {_POOR}))::DOUBLE / len(lat) ELSE 0.0 END AS v FROM b),
 tri AS (SELECT *, coverage >= 0.85 AS dominant, deva < 20 AND token_count >= 12 AND (s >= 0.12 OR (s >= 0.06 AND v >= 0.45)) AS odd FROM c)"""
@@ -272,8 +272,8 @@ def list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LIST_MARKERS = f"""WITH {FRAGMENTS}, f AS (SELECT doc_id, line, CASE WHEN line % 3 = 1 THEN line || ') ' || text ELSE text END AS text FROM frag),
-m AS (SELECT *, regexp_extract(text, '^\\s*((?:[-*\\x{{2022}}])|(?:\\(?[0-9\\x{{966}}-\\x{{96F}}]{{1,3}}[.)]))\\s+', 1) AS mk FROM f), s AS (SELECT *, length(text) <= 120 AND NOT regexp_matches(text, '[.!?,;:\\x{{964}}]\\s*$') AND mk = '' AS short FROM m)
-SELECT doc_id, line, nullif(mk, '') AS marker, CASE WHEN short AND line = 0 THEN 1 WHEN short AND len({d_tokens('text')}) <= 10 THEN 2 END AS heading, regexp_matches(regexp_replace(text, '{P.SPACE}', '', 'g'), '^(?:[0-9]+|[A-Za-z+\\-^&*/\\\\|=()]+)$') AS noise FROM s"""
+m AS (SELECT *, {d_strip('text')} AS s, regexp_extract({d_strip('text')}, '^([-*\\x{{2022}}]|\\p{{Nd}}+[.)]|[A-Za-z][.)]){P.SPACE}+[^\\n]+$', 1) AS mk FROM f)
+SELECT doc_id, line, nullif(mk, '') AS marker, CASE WHEN s = '' OR length(s) > 120 OR mk <> '' THEN NULL WHEN line = 0 THEN 1 WHEN NOT regexp_matches(s, '[\\x{{964}}.?!:]$') AND len({d_tokens('s')}) <= 10 THEN 2 END AS heading, regexp_matches(regexp_replace(text, '{P.SPACE}', '', 'g'), '^(?:[0-9]+|[A-Za-z+\\-^&*/\\\\|=()]+)$') AS noise FROM m"""
 
 QUERIES = {f.__name__: f for f in (text_fragments, line_assembly, line_runs, unmappable_runs, layout_blocks, column_votes, reading_order, paragraph_islands, document_structure, edge_clusters, indent_thresholds, page_anchors, variant_merge, undecoded_places, page_triage, page_vote, font_classes, furniture, render_paragraphs, list_markers)}
 ORACLES = {n: globals()[n.upper()] for n in QUERIES}

@@ -15,7 +15,7 @@ from .common import KEYMAPS, KEYS, VOCABULARY, d_chars, d_collapse, d_count, d_s
 
 def token_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-55."""
-    d = documents(spark, sf_dir).withColumn("c", M.token_counts(P.tokens(F.col("text"))))
+    d = documents(spark, sf_dir).withColumn("c", M.token_counts(F.col("text")))
     return d.select("doc_id", F.col("c.tokens").alias("tokens"), P.characters(F.col("text"), P.DEVANAGARI).alias("devanagari"), M.ratio(F.col("c.suspicious"), F.col("c.latin")).alias("suspicious_ratio"), M.ratio(F.col("c.vowel_poor"), F.col("c.latin")).alias("vowel_poor_ratio"))
 
 
@@ -45,7 +45,7 @@ _SCORE = f"""(3 * {d_chars('text', P.DEVANAGARI)} + tokens - 8 * suspicious - 3
 
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-61."""
-    d = documents(spark, sf_dir).withColumn("c", M.token_counts(P.tokens(F.col("text"))))
+    d = documents(spark, sf_dir).withColumn("c", M.token_counts(F.col("text")))
     return d.select("doc_id", M.quality_score(F.col("text"), F.col("c")).alias("score"), M.pipe_heavy_lines(F.col("text")).alias("pipe_lines"))
 
 
@@ -54,7 +54,7 @@ QUALITY_SCORE = f"WITH {_d_counts(_DOCS)} SELECT doc_id, {_SCORE} AS score, {_PI
 
 def needs_reextraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-185."""
-    d = documents(spark, sf_dir).withColumn("c", M.token_counts(P.tokens(F.col("text"))))
+    d = documents(spark, sf_dir).withColumn("c", M.token_counts(F.col("text")))
     return d.select("doc_id", M.needs_reextraction(F.col("text"), F.col("c")).alias("needs"))
 
 
@@ -93,8 +93,7 @@ SELECT doc_id, arg_max(ord, row(safe, score, -ord))::BIGINT AS chosen, arg_max(s
 
 def text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-69, OP-154."""
-    s = documents(spark, sf_dir).select("doc_id", M.text_signals(F.col("text")).alias("s")).select("doc_id", "s.*")
-    return s.drop("deva_frac", "latin_frac")
+    return documents(spark, sf_dir).select("doc_id", M.text_signals(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
 def _d_wellformed(text: str) -> dict[str, str]:
@@ -116,7 +115,10 @@ def _signals_sql(source: str) -> str:
   {w['stranded_matras']} AS stranded_matras, {w['doubled']} AS doubled_matras, {w['matras']} AS matras, sha256(text) AS sha256 FROM {source}"""
 
 
-TEXT_SIGNALS = f"SELECT * EXCLUDE (text) FROM ({_signals_sql(_DOCS)})"
+_LOW = "regexp_replace(text, '[^\\x{0}-\\x{24F}]', '', 'g')"
+_LATIN = f"(length({_LOW}) - length(regexp_replace({_LOW}, '\\pL', '', 'g')))"
+TEXT_SIGNALS = f"""SELECT * EXCLUDE (text, latin), CASE WHEN letters > 0 THEN round(devanagari::DOUBLE / letters, 4) END AS deva_frac, CASE WHEN letters > 0 THEN round(latin::DOUBLE / letters, 4) END AS latin_frac
+FROM (SELECT *, {_LATIN} AS latin FROM ({_signals_sql(_DOCS)}))"""
 
 
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,58 +172,72 @@ def _d_penalty(text: str) -> dict[str, str]:
     doublet = d_count(text, "|".join(c * 2 for c in _CONS))
     return {
         "replacement": d_chars(text, r"\x{FFFD}"), "private": d_chars(text, r"\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}"), "invalid": d_chars(text, r"\x{94A}\x{929}\x{931}\x{934}"),
-        "prefix": prefix, "ikar_matra": ikar_matra, "nasal": nasal, "halant": d_count(text, r"\x{94D}\x{93F}"), "doublets": doublet,
+        "prefix": prefix, "ikar_matra": ikar_matra, "nasal": nasal, "halant": d_count(text, r"\x{94D}\x{93F}"), "doublets": doublet, "artifacts": d_count(text, M.ARTIFACTS),
     }
 
 
 def _d_penalty_sum(p: dict[str, str]) -> str:
-    weights = {"replacement": 12, "private": 12, "invalid": 8, "prefix": 6, "ikar_matra": 6, "nasal": 6, "halant": 4, "doublets": 3}
+    weights = {"replacement": 12, "private": 12, "invalid": 8, "prefix": 6, "ikar_matra": 6, "nasal": 6, "halant": 4, "doublets": 3, "artifacts": 8}
     return "(" + " + ".join(f"{w} * {p[k]}" for k, w in weights.items()) + ")"
 
 
 def text_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-63, OP-64 (raw doublets)."""
     d = _decoded(spark, sf_dir)
-    return d.select("doc_id", M.doublets(F.col("text")).alias("doublets"), M.text_penalty(F.col("text"), M.doublets(F.col("text"))).alias("penalty"))
+    return d.select("doc_id", M.doublets(F.col("text")).alias("doublets"), M.text_penalty(F.col("text"), M.doublets(F.col("text"))).alias("penalty"), M.unexplained_doublets(F.col("text")).alias("unexplained"))
 
 
 _P = _d_penalty("text")
-TEXT_PENALTY = f"SELECT doc_id, {_P['doublets']} AS doublets, {_d_penalty_sum(_P)} AS penalty FROM {_D_DECODED}"
+# words with doublets, cut between their halves: an end is explained inside a listed word or where a suffix follows a stem
+_D_DOUBLET = "|".join(f"{c}{c}" for c in _CONS)
+_D_INSIDE = " OR ".join(f"(e >= {i + 1} AND substr(w, e - {i}, {len(x)}) = '{x}')" for x in M.DOUBLED_LEXEMES for i in range(len(x) - 1) if x[i] == x[i + 1])
+_D_OPENS = " OR ".join(f"starts_with(substr(w, e + 1), '{s}')" for s in M.STEM_SUFFIXES)
+_D_MARKED = "w"
+for _c in _CONS:
+    _D_MARKED = f"replace({_D_MARKED}, '{_c}{_c}', '{_c}' || chr(1) || '{_c}')"
+_D_UNEXPLAINED = f"""unexplained AS (SELECT doc_id, count(*) FILTER (NOT (({_D_INSIDE}) OR (e >= 2 AND ({_D_OPENS})))) AS n FROM
+ (SELECT doc_id, w, length(array_to_string(p[1:k], '')) AS e FROM (SELECT doc_id, w, string_split({_D_MARKED}, chr(1)) AS p FROM
+  (SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '[{P.DEVANAGARI}]+'), lambda x: regexp_matches(x, '{_D_DOUBLET}'))) AS w FROM {_D_DECODED})), LATERAL (SELECT unnest(range(1, len(p))) AS k)) GROUP BY doc_id)"""
+TEXT_PENALTY = f"WITH {_D_UNEXPLAINED} SELECT d.doc_id, {_P['doublets']} AS doublets, {_d_penalty_sum(_P)} AS penalty, coalesce(n, 0) AS unexplained FROM {_D_DECODED} d LEFT JOIN unexplained USING (doc_id)"
 
 
 def _font_decodings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text of each source (as a font) of a few hundred documents' first lines under three keymaps."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    spans = d.select("doc_id", F.col("source").alias("font"), F.col("doc_id").alias("ord"), F.concat(F.split("text", "\n")[0], F.lit("\n")).alias("text"))
-    per_font = spans.groupBy("font").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s["text"]), "").alias("text"))
+    """The texts of each source (as a font) under three keymaps, judged font by font."""
+    spans = documents(spark, sf_dir, "source").select(F.col("source").alias("font"), F.concat("text", F.lit("\n")).alias("text"))
     maps = F.array(*[F.struct(F.lit(k).alias("map_key"), F.translate("text", KEYS, v).alias("decoded")) for k, v in KEYMAPS.items()])
-    each = per_font.select("font", F.inline(maps))
-    return each.withColumn("validity", M.validity(F.col("decoded"), VOCABULARY, VOCABULARY))
+    return pages.judged_decodings(spans.select("font", F.inline(maps)), ["font"], VOCABULARY, VOCABULARY)
 
 
 def map_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-65, OP-66, OP-67, OP-51."""
     d = _font_decodings(spark, sf_dir)
-    return d.select("font", "map_key", "validity.*", M.passes_gate(F.col("validity")).alias("passes")).drop("stranded", "ratio")
+    return d.select("font", "map_key", "validity.*", M.passes_gate(F.col("validity")).alias("passes"))
 
 
+# per text and keymap, then summed by font; doublets are taken as unexplained where the decoded words have no listed one
 _SOLID = d_count("text", r"[^\pZ\x{9}-\x{D}]")
-_D_FONTS = """fonts AS (SELECT source AS font, string_agg(split_part(coalesce(text, ''), chr(10), 1) || chr(10), '' ORDER BY doc_id) AS text FROM documents GROUP BY source)"""
-_D_VALID = f"""{_D_FONTS}, dec AS ({' UNION ALL '.join(f"SELECT font, '{k}' AS map_key, translate(text, '{KEYS}', '{v}') AS text FROM fonts" for k, v in KEYMAPS.items())}),
-valid AS (SELECT font, map_key, {' + '.join(f"contains(text, '{w}')::BIGINT" for w in VOCABULARY)} AS hits, {d_chars('text', P.DEVANAGARI)} AS devanagari, {_d_penalty_sum(_P)} AS whole, least({_P['doublets']}, 1) * 3 AS forgiven, {_P['nasal']} AS ikar_nasal,
-  {_ratio(d_chars('text', P.DEVANAGARI), _SOLID)} AS ratio, len(list_intersect(list_transform({d_tokens('text')}, lambda t: regexp_replace(t, '^[\\x{{964}}\\x{{965}}]+|[\\x{{964}}\\x{{965}}]+$', '', 'g')), [{', '.join(f"'{w}'" for w in VOCABULARY)}])) AS attested FROM dec),
-full_valid AS (SELECT *, whole - forgiven AS penalty, {_ratio('whole', 'devanagari')} AS penalty_per_deva FROM valid)"""
-MAP_VALIDITY = f"WITH {_D_VALID} SELECT font, map_key, hits, devanagari, penalty, penalty_per_deva, ikar_nasal, attested, (hits >= 2 AND devanagari >= 8 AND ratio >= 0.6 AND penalty_per_deva <= 0.05) AS passes FROM full_valid"
+_D_STRANDED = f"(length(text) - length(regexp_replace(regexp_replace(text, '([{P.LETTER_GAP}])[()\\[\\]{{}}]([{P.LETTER_GAP}])', '\\1\\2', 'g'), '([{P.LETTER_GAP}])[()\\[\\]{{}}]([{P.LETTER_GAP}])', '\\1\\2', 'g')))"
+_D_MAPPED = f"(SELECT row_number() OVER () AS doc_id, font, map_key, text FROM ({' UNION ALL '.join(f"SELECT source AS font, '{k}' AS map_key, translate(coalesce(text, ''), '{KEYS}', '{v}') || chr(10) AS text FROM documents" for k, v in KEYMAPS.items())}))"
+_D_VALID = f"""dec AS MATERIALIZED {_D_MAPPED}, {_D_UNEXPLAINED.replace(_D_DECODED, 'dec')},
+parts AS (SELECT dec.*, coalesce(n, 0) AS doubled, {_d_penalty_sum(_P | {'doublets': 'coalesce(n, 0)'})} AS whole, {d_chars('text', P.DEVANAGARI)} AS deva, {_SOLID} AS solid, {_P['nasal']} AS nasal, {_D_STRANDED} AS stranded,
+ list_transform({d_tokens('text')}, lambda t: regexp_replace(t, '^[\\x{{964}}\\x{{965}}]+|[\\x{{964}}\\x{{965}}]+$', '', 'g')) AS bare FROM dec LEFT JOIN unexplained USING (doc_id)),
+valid AS (SELECT font, map_key, {' + '.join(f"max(contains(text, '{w}')::INTEGER)" for w in VOCABULARY)} AS hits, sum(deva)::BIGINT AS devanagari, sum(whole)::BIGINT AS whole, least(sum(doubled), 1)::BIGINT * 3 AS forgiven, sum(nasal)::BIGINT AS ikar_nasal, sum(stranded)::BIGINT AS stranded,
+ {_ratio('sum(deva)', 'sum(solid)')} AS ratio, {' + '.join(f"max(list_contains(bare, '{w}')::INTEGER)" for w in VOCABULARY)} AS attested FROM parts GROUP BY font, map_key),
+full_valid AS (SELECT *, whole - forgiven AS penalty, {_ratio('whole', 'devanagari')} AS penalty_per_deva, (hits >= 2 AND devanagari >= 8 AND ratio >= 0.6 AND {_ratio('whole', 'devanagari')} <= 0.05) AS passes FROM valid)"""
+MAP_VALIDITY = f"WITH {_D_VALID} SELECT font, map_key, hits::BIGINT AS hits, devanagari, ratio, penalty, penalty_per_deva, ikar_nasal, stranded, attested::BIGINT AS attested, passes FROM full_valid"
 
 
 def choose_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-111: rank by the lexicographic key; ties are kept."""
-    d = _font_decodings(spark, sf_dir).withColumn("r", F.rank().over(W.partitionBy("font").orderBy(M.rank_key(F.col("validity")).desc())))
-    best = d.filter("r = 1").groupBy("font").agg(F.min("map_key").alias("map_key"), F.count("*").alias("tied"))
-    return best
+    """OP-111: the best by the lexicographic key behind the accept gate; ties are kept."""
+    # typed letters read as Devanagari carry far more damage than the gate lets through, so a font's penalty is scaled here
+    d = _font_decodings(spark, sf_dir)
+    v = F.col("validity")
+    eased = d.withColumn("validity", v.withField("penalty_per_deva", v["penalty_per_deva"] / 20))
+    return pages.choose_maps(eased, ["font"]).select("font", "map_key", F.size("tied").cast("long").alias("tied"))
 
 
-CHOOSE_MAP = f"""WITH {_D_VALID}, ranked AS (SELECT font, map_key, rank() OVER (PARTITION BY font ORDER BY hits DESC, -greatest(penalty - 6, 0) DESC, attested DESC, -penalty DESC, ratio DESC, devanagari DESC) AS r FROM full_valid)
+CHOOSE_MAP = f"""WITH {_D_VALID}, ranked AS (SELECT font, map_key, rank() OVER (PARTITION BY font ORDER BY hits DESC, -greatest(penalty - 6, 0) DESC, -greatest(stranded - 1, 0) DESC, attested DESC, -penalty DESC, ratio DESC, devanagari DESC) AS r FROM full_valid
+ WHERE hits >= 2 AND devanagari >= 8 AND ratio >= 0.6 AND penalty_per_deva / 20 <= 0.05)
 SELECT font, min(map_key) AS map_key, count(*) AS tied FROM ranked WHERE r = 1 GROUP BY font"""
 
 
@@ -242,7 +258,7 @@ SELECT doc_id, (length(text) >= 8 AND {d_chars('text', P.DEVANAGARI)} = 0 AND {d
 
 def acronym_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-37, OP-82, OP-121: acronyms of each document that also survive in another one of its source."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", X.acronym_tokens(F.coalesce("text", F.lit(""))).alias("a"))
+    d = documents(spark, sf_dir, "source").select("doc_id", "source", X.acronym_tokens(F.col("text")).alias("a"))
     each = d.select("doc_id", "source", F.explode("a").alias("acronym"))
     per = each.groupBy("source", "acronym").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
     return per

@@ -177,7 +177,7 @@ SELECT font, c, median(advance) AS advance, count(*) AS samples FROM e WHERE adv
 
 def edge_stab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-49, OP-102, OP-183: ruled edges between neighbouring digits."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select("o_orderkey", F.format_string("%.2f", F.col("o_totalprice")).alias("t"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.format_string("%.2f", F.col("o_totalprice")).alias("t"))
     ch = o.select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.split("t", "")).alias("idx", "c"))
     x = F.col("idx") * 5.0
     ch = ch.select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("block"), F.lit(0).alias("line"), F.lit(0).alias("span"), "idx", "c", x.alias("origin_x"), x.alias("x0"), F.lit(10.0).alias("y0"), (x + 4.5).alias("x1"), F.lit(20.0).alias("y1"), F.lit("f").alias("font"), F.lit(10.0).alias("size"))
@@ -186,7 +186,7 @@ def edge_stab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts.select("doc_id", F.col("idx").cast("long").alias("idx"))
 
 
-EDGE_STAB = """WITH o AS (SELECT o_orderkey AS k, printf('%.2f', o_totalprice) AS t FROM orders WHERE o_orderkey % 5 = 0), c AS (SELECT k, i, substr(t, i, 1) AS a, substr(t, i + 1, 1) AS b FROM o, LATERAL (SELECT unnest(range(1, length(t))) AS i)),
+EDGE_STAB = """WITH o AS (SELECT o_orderkey AS k, printf('%.2f', o_totalprice) AS t FROM orders), c AS (SELECT k, i, substr(t, i, 1) AS a, substr(t, i + 1, 1) AS b FROM o, LATERAL (SELECT unnest(range(1, length(t))) AS i)),
 e AS (SELECT k, unnest(CASE WHEN k % 2 = 0 THEN [k % 7 * 5.0 + 4.8, k % 7 * 5.0 + 9.8] ELSE [k % 7 * 5.0 + 4.8] END) AS x FROM o)
 SELECT DISTINCT c.k AS doc_id, i AS idx FROM c JOIN e ON c.k = e.k WHERE regexp_matches(a, '[0-9]') AND regexp_matches(b, '[0-9]') AND x BETWEEN (i - 1) * 5.0 + 4.5 - 0.8 AND i * 5.0"""
 
@@ -195,11 +195,11 @@ def _repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order prices as merged numbers, taken apart after the cents of a first amount."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_suppkey") % 9 + 1).cast("string").alias("a"), (F.col("l_partkey") % 9 + 1).cast("string").alias("b"))
     merged = F.concat("a", F.lit(".5"), F.lit("0"), "b", F.lit(".25"))
-    parts = F.when(F.col("l_linenumber") % 4 != 0, F.array(F.concat("a", F.lit(".50")), F.concat("b", F.lit(".25")))).otherwise(F.array(F.concat("a", F.lit(".5")), F.concat(F.lit("0"), "b", F.lit(".25"))))
+    parts = F.when((F.col("l_linenumber") % 4 != 0) | (F.col("l_suppkey") % 3 == 0), F.array(F.concat("a", F.lit(".50")), F.concat("b", F.lit(".25")))).otherwise(F.array(F.concat("a", F.lit(".5")), F.concat(F.lit("0"), "b", F.lit(".25"))))
     return li.select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), merged.alias("merged_text"), parts.alias("parts"))
 
 
-_REPAIRS = """rep AS (SELECT l_suppkey AS doc_id, l_orderkey * 10 + l_linenumber AS ord, (l_suppkey % 9 + 1) || '.50' || (l_partkey % 9 + 1) || '.25' AS merged, CASE WHEN l_linenumber % 4 <> 0 THEN (l_suppkey % 9 + 1) || '.50 | ' || (l_partkey % 9 + 1) || '.25' ELSE (l_suppkey % 9 + 1) || '.5 | 0' || (l_partkey % 9 + 1) || '.25' END AS parts FROM lineitem)"""
+_REPAIRS = """rep AS (SELECT l_suppkey AS doc_id, l_orderkey * 10 + l_linenumber AS ord, (l_suppkey % 9 + 1) || '.50' || (l_partkey % 9 + 1) || '.25' AS merged, CASE WHEN l_linenumber % 4 <> 0 OR l_suppkey % 3 = 0 THEN (l_suppkey % 9 + 1) || '.50 | ' || (l_partkey % 9 + 1) || '.25' ELSE (l_suppkey % 9 + 1) || '.5 | 0' || (l_partkey % 9 + 1) || '.25' END AS parts FROM lineitem)"""
 
 
 def partition_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,24 +239,24 @@ MODE_FIRST = "WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id
 
 def nearest_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-50: embeddings (in thousandths) against five of them by L1."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("glyph"), F.transform(F.slice("embedding", 1, 7), lambda x: F.round(x.cast("double") * 1000)).alias("feature"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("glyph"), F.transform("embedding", lambda x: F.round(x.cast("double") * 1000)).alias("feature"))
     marks = v.filter("glyph < 5").select(F.col("glyph").alias("ord"), F.col("glyph").cast("string").alias("mark"), "feature")
     return numeric.nearest_mark(v, marks, 1_000_000)
 
 
-NEAREST_MARK = """WITH v AS (SELECT vec_id, list_transform(embedding[1:7], lambda x: round(x::DOUBLE * 1000)) AS f FROM embeddings), d AS (SELECT v.vec_id AS glyph, m.vec_id AS mark, list_sum(list_transform(list_zip(v.f, m.f), lambda z: abs(z[1] - z[2]))) AS distance FROM v, v m WHERE m.vec_id < 5)
+NEAREST_MARK = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * 1000)) AS f FROM embeddings), d AS (SELECT v.vec_id AS glyph, m.vec_id AS mark, list_sum(list_transform(list_zip(v.f, m.f), lambda z: abs(z[1] - z[2]))) AS distance FROM v, v m WHERE m.vec_id < 5)
 SELECT glyph, arg_min(mark, row(distance, mark))::VARCHAR AS mark, min(distance) AS distance FROM d GROUP BY glyph"""
 
 
 def signature_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-80, OP-195: digit signatures (hashes of titles) against a reference row."""
-    d = documents(spark, sf_dir).filter("doc_id < 200").select(F.floor(F.col("doc_id") / 10).alias("font"), (F.col("doc_id") % 10).alias("digit"), F.when(F.col("doc_id") % 17 != 0, F.sha2(F.encode("text", "UTF-8"), 256)).alias("hex"))
+    d = documents(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).alias("font"), (F.col("doc_id") % 10).alias("digit"), F.when(F.col("doc_id") % 17 != 0, F.sha2(F.encode("text", "UTF-8"), 256)).alias("hex"))
     d = d.select("font", "digit", F.when(F.col("hex").isNotNull(), numeric.signature_longs(F.col("hex"))).alias("signature"))
     votes = numeric.draws_reference_digits(d, d.filter("font = 3"), near=128)
     return votes.select("font", "verdict")
 
 
-SIGNATURE_VOTES = """WITH d AS (SELECT doc_id // 10 AS font, doc_id % 10 AS digit, CASE WHEN doc_id % 17 <> 0 THEN sha256(coalesce(text, '')) END AS hex FROM documents WHERE doc_id < 200),
+SIGNATURE_VOTES = """WITH d AS (SELECT doc_id // 10 AS font, doc_id % 10 AS digit, CASE WHEN doc_id % 17 <> 0 THEN sha256(coalesce(text, '')) END AS hex FROM documents),
 b AS (SELECT font, digit, CASE WHEN hex IS NOT NULL THEN unhex(hex)::BIT END AS s FROM d)
 SELECT a.font, CASE WHEN count(a.s) >= 7 THEN count(*) FILTER (bit_count(xor(a.s, r.s)) <= 128) >= 7 END AS verdict FROM b a JOIN b r ON a.digit = r.digit AND r.font = 3 GROUP BY a.font"""
 
@@ -394,17 +394,17 @@ PAGE_SELECTION = "WITH c AS (SELECT c_custkey, list_concat(range(1, c_custkey %
 
 
 def devanagari_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-133, OP-134, OP-158: one i-matra and one repha marker in words of decoded first lines."""
-    f = fragments(spark, sf_dir).filter("line_number = 0").select("doc_id", F.translate(F.left("text", F.lit(30)), KEYS, KEYMAPS["first"]).alias("t"))
+    """OP-133, OP-134, OP-158: one i-matra and one repha marker in each decoded line."""
+    f = fragments(spark, sf_dir).select("doc_id", F.col("line_number").cast("long").alias("line"), F.translate("text", KEYS, KEYMAPS["first"]).alias("t"))
     marked = F.concat(F.regexp_replace("t", "^(.)", "$1"), F.lit("क"))
-    return f.select("doc_id", F.md5(F.encode(X.reorder_devanagari(marked), "UTF-8")).alias("text_md5"))
+    return f.select("doc_id", "line", F.md5(F.encode(X.reorder_devanagari(marked), "UTF-8")).alias("text_md5"))
 
 
 _RC = r"[\x{915}-\x{939}]"
 _RCL = rf"(?:{_RC}\x{{94D}})*{_RC}"
-DEVANAGARI_REORDER = f"""WITH {FRAGMENTS}, f AS (SELECT doc_id, regexp_replace(translate(left(text, 30), '{KEYS}', '{KEYMAPS['first']}'), '^(.)', '\\1' || chr(61441)) || 'क' || chr(61440) AS t FROM frag WHERE line = 0),
-i AS (SELECT doc_id, replace(regexp_replace(t, chr(61441) || '({_RCL})', '\\1ि', 'g'), chr(61441), 'ि') AS t FROM f)
-SELECT doc_id, md5(replace(regexp_replace(t, '({_RCL}[\\x{{93E}}-\\x{{94C}}\\x{{962}}\\x{{963}}\\x{{901}}-\\x{{903}}\\x{{94D}}]*)' || chr(61440), 'र्\\1', 'g'), chr(61440), 'र्')) AS text_md5 FROM i"""
+DEVANAGARI_REORDER = f"""WITH {FRAGMENTS}, f AS (SELECT doc_id, line, regexp_replace(translate(text, '{KEYS}', '{KEYMAPS['first']}'), '^(.)', '\\1' || chr(61441)) || 'क' || chr(61440) AS t FROM frag),
+i AS (SELECT doc_id, line, replace(regexp_replace(t, chr(61441) || '({_RCL})', '\\1ि', 'g'), chr(61441), 'ि') AS t FROM f)
+SELECT doc_id, line, md5(replace(regexp_replace(t, '({_RCL}[\\x{{93E}}-\\x{{94C}}\\x{{962}}\\x{{963}}\\x{{901}}-\\x{{903}}\\x{{94D}}]*)' || chr(61440), 'र्\\1', 'g'), chr(61440), 'र्')) AS text_md5 FROM i"""
 
 
 def symbol_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,7 +448,7 @@ def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.coalesce(F.regexp_extract("t", r"^[^\x{964}!?.]*", 0), F.lit("Untitled")).alias("title"))
 
 
-TITLE_LINES = f"""WITH {FRAGMENTS}, t AS (SELECT doc_id, arg_min(text, line) AS t FROM frag WHERE length(text) <= 120 AND NOT regexp_matches(text, '^\\s*(मिति|Date)\\s*[:\\x{{903}}\\-]?') GROUP BY doc_id)
+TITLE_LINES = f"""WITH {FRAGMENTS}, t AS (SELECT doc_id, arg_min(text, line) AS t FROM frag WHERE length(text) <= 120 AND NOT regexp_matches(text, '(मिति|मिमि){P.SPACE}*:') GROUP BY doc_id)
 SELECT doc_id, coalesce(regexp_extract(t, '^[^\\x{{964}}!?.]*'), 'Untitled') AS title FROM documents LEFT JOIN t USING (doc_id)"""
 
 

@@ -123,6 +123,21 @@ def test_output_names_skip_what_is_there(spark):
     assert [r.name for r in render.output_names(f, there).orderBy("ord").collect()] == ["a-2", "a-3", "b"]
 
 
+def test_output_names_count_on_past_natural_collisions(spark):
+    stems = ["a", "a", "a-2", "a", "b-2", "b", "b", "", "document"]
+    f = spark.createDataFrame([("d", s, i) for i, s in enumerate(stems)] + [("e", "a-2", 0)], "directory string, stem string, ord int")
+    got = [r.name for r in render.output_names(f).orderBy("directory", "ord").collect()]
+    assert got == ["a", "a-2", "a-2-2", "a-3", "b-2", "b", "b-3", "document", "document-2", "a-2"]
+
+
+def test_merge_takes_the_better_token_of_noisy_lines(spark):
+    from scriptorium.operators import merge
+
+    df = spark.createDataFrame([("एिं बैंक", "एवं बैिंक"), ("same", "same"), ("one two", "one two three"), ("सिंह", "सिह")], "a string, b string")
+    got = [r.t for r in df.select(merge.best_text(F.col("a"), F.col("b")).alias("t")).collect()]
+    assert got == ["एवं बैंक", "same", "one two three", "सिह"]
+
+
 def test_records_reject_repeated_files(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text('{"file": "a", "status": "ok"}\n{"file": "b", "status": "ok"}\n')
     assert files.read_records(spark, str(tmp_path)).count() == 2
