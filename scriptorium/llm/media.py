@@ -81,8 +81,8 @@ def _page_rows(data: bytes | None, with_pixels: bool) -> Iterator[tuple]:
             raw = p.pixels.tobytes()
             yield (n, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, len(data), digest, len(raw),
                    hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-ROW:]), page_feature(p.pixels), None, raw if with_pixels else None)
-    except tiff.TiffError as e:
-        yield -1, *[None] * 6, len(data), digest, *[None] * 4, f"after page {n}: {e}", None
+    except Exception as e:  # whatever damage does to a decoder, it is this file's own row
+        yield -1, *[None] * 6, len(data), digest, *[None] * 4, f"after page {n}: {e or type(e).__name__}", None
 
 
 def tiff_pages(df: DataFrame, media: str, with_pixels: bool = False, drop_media: bool = True) -> DataFrame:

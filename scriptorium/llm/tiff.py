@@ -212,6 +212,10 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]],
     return tags, following
 
 
+#: no codec here makes more than so many bytes of one: LZW makes 4096 of 12 bits, deflate 258 of 2 bits
+MOST_RATIO = 4096
+
+
 def _page(data: bytes, tags: dict[int, list[int]], order: str) -> Page:
     one = lambda tag, default=None: tags[tag][0] if tags.get(tag) else default
     width, height = one(WIDTH), one(HEIGHT)
@@ -227,10 +231,16 @@ def _page(data: bytes, tags: dict[int, list[int]], order: str) -> Page:
     block_w = one(TILE_WIDTH) if tiled else width
     block_h = one(TILE_HEIGHT) if tiled else min(one(ROWS_PER_STRIP, height) or height, height) or 1
     offsets, sizes = (tags.get(t, []) for t in ((TILE_OFFSETS, TILE_BYTES) if tiled else (STRIP_OFFSETS, STRIP_BYTES)))
+    if not block_w or not block_h:
+        raise TiffError("a tile has no size")
     across, down = -(-width // block_w), -(-height // block_h)
     planes = samples if planar == 2 else 1
     if min(len(offsets), len(sizes)) < across * down * planes:
         raise TiffError("strips or tiles are missing")
+    # checked before anything of that size is made
+    stored = sum(sizes[: across * down * planes])
+    if max(width * height * samples, across * block_w * block_h * samples) * bits > 8 * (64 + MOST_RATIO * stored):
+        raise TiffError("the page is larger than its strips or tiles can hold")
     pixels = None
     per_block = 1 if planar == 2 else samples
     for k in range(across * down * planes):

@@ -334,3 +334,18 @@ def test_media_of_odd_payloads(spark):
     assert [(r.doc_id, r.page, r.error is None) for r in rows] == [(0, -1, False), (1, -1, False), (2, -1, False), (3, 0, True), (3, 1, True), (4, -1, False)]
     stored = media.tiff_pages(media.to_tiff(spark.createDataFrame([(b"",), (None,), (b"x" * 65,)], "p binary"), "p"), "media", with_pixels=True).collect()
     assert [bytes(r.pixels) for r in stored] == [bytes(64), bytes(64), b"x" * 65 + bytes(63)]
+
+
+def test_damaged_files_give_a_row_each(spark):
+    rng = random.Random(8)
+    image = np.random.default_rng(8).integers(0, 9, (40, 64), dtype=np.uint8)
+    files = [tiff.write([image, image[:7]], c, 1, 10, tile) for c in (tiff.DEFLATE, tiff.LZW, tiff.PACKBITS, tiff.NONE) for tile in (None, (16, 16))]
+    damaged = []
+    for i in range(2000):
+        data = bytearray(files[i % len(files)])
+        for _ in range(rng.randint(1, 3)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        damaged.append((i, bytes(data[: rng.choice([len(data), rng.randint(0, len(data))])])))
+    rows = media.tiff_pages(spark.createDataFrame(damaged, "doc_id long, media binary"), "media").collect()
+    assert {r.doc_id for r in rows} == set(range(2000))
+    assert all((r.page >= 0) == (r.error is None) for r in rows)
