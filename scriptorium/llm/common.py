@@ -8,6 +8,7 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -104,6 +105,12 @@ def _give_back() -> None:
         pass
 
 
+def each(column: pa.Array) -> Iterator:
+    """The values of a column, a few at a time: a batch of long texts never stands twice in memory."""
+    for i in range(0, len(column), 128):
+        yield from column.slice(i, 128).to_pylist()
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, worker_state, written
+from .common import checkpointed, each, worker_state, written
 from .components import connected_components
 
 #: n-grams listed as frequent, and the count in a run of documents from which one is a candidate;
@@ -83,7 +83,7 @@ class Shingler:
     ``common`` (sorted word hashes and their costs) gives each n-gram the sum of its words' costs.
     """
 
-    def __init__(self, words: int, seed: int = 0, common: tuple[np.ndarray, np.ndarray] | None = None, remembered: int = 400_000):
+    def __init__(self, words: int, seed: int = 0, common: tuple[np.ndarray, np.ndarray] | None = None, remembered: int = 250_000):
         self.words, self.seed, self.most, self.common = words, seed, remembered, common
         self._clear(remembered)
 
@@ -166,19 +166,23 @@ def _describe(rule: Rule, seed: int, told: bool = False):
         def frequent() -> Iterator[pa.RecordBatch]:
             if not run:
                 return
-            found, at, counts = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+            joined = lambda parts: (np.concatenate(parts), parts.clear())[0]  # noqa: E731  a run's arrays go as they are used up
+            found, at, counts = np.unique(joined(words), return_inverse=True, return_counts=True)
             yield row(found[counts >= COMMON_IN_RUN], counts[counts >= COMMON_IN_RUN], -2)
-            of_word = counts[at]
+            of_word = counts.astype(np.int32)[at]
+            del found, at
             rarest = of_word.copy()
             for i in range(1, rule.words):
                 np.minimum(rarest[:-i], of_word[i:], out=rarest[:-i])
-            grams, first, counts = np.unique(np.concatenate(run), return_index=True, return_counts=True)
-            listed = (counts >= FREQUENT_IN_RUN) & (counts >= OF_RAREST * rarest[np.concatenate(places)[first]])
+            del of_word
+            rarest = rarest[joined(places)]
+            grams, first, counts = np.unique(joined(run), return_index=True, return_counts=True)
+            listed = (counts >= FREQUENT_IN_RUN) & (counts >= OF_RAREST * rarest[first])
             yield row(grams[listed], counts[listed], -1)
 
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text in zip(b.column(0).to_pylist(), each(b.column(1)), strict=True):
                 grams, _, h = shingler.grams(text)
                 s, first = np.unique(grams, return_index=True)
                 if len(s):
@@ -208,7 +212,7 @@ def _postings(rule: Rule, seed: int, frequent):
         shingler, seen = worker_state(("costed grams", rule.words, seed, hash((words.tobytes(), costs.tobytes()))), lambda: Shingler(rule.words, seed, (words, costs))), set()
         for b in batches:
             parts = []
-            for text in b.column(0).to_pylist():
+            for text in each(b.column(0)):
                 s, cost, _ = shingler.grams(text)
                 if not len(s):
                     continue
@@ -238,7 +242,7 @@ def _sets(rule: Rule, seed: int):
         shingler = worker_state(("grams", rule.words, seed), lambda: Shingler(rule.words, seed))
         for b in batches:
             names, grams, held = [], [], 0
-            for i, text in enumerate(b.column(0).to_pylist()):
+            for i, text in enumerate(each(b.column(0))):
                 s = shingler.shingles(text)
                 if len(s):
                     names.append(digest(s, seed))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import worker_state, written
+from .common import each, worker_state, written
 
 #: most labelled documents to learn from, and most domains
 SAMPLE, MOST_DOMAINS = 4096, 64
@@ -46,7 +46,7 @@ EPOCHS, RATE = 6, 0.5
 class Words:
     """Weight index of each word, remembered in a bounded table."""
 
-    def __init__(self, bits: int = BITS, remembered: int = 500_000):
+    def __init__(self, bits: int = BITS, remembered: int = 250_000):
         self.shift, self.most = 64 - bits, remembered
         self.at: dict[str, int] = {}
 
@@ -161,7 +161,7 @@ class Mixer:
         def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, model = worker_state(("domains", BITS), lambda: Words(BITS)), shared.value
             for b in batches:
-                found = [model.posterior(words, t) for t in b.column(at).to_pylist()]
+                found = [model.posterior(words, t) for t in each(b.column(at))]
                 columns = [pa.array([n for n, _ in found], pa.int64()), pa.array([p.tolist() for _, p in found], pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays([*b.columns[:kept], *columns], [*b.schema.names[:kept], *added])
 

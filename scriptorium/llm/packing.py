@@ -22,7 +22,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import worker_state
+from .common import each, worker_state
 
 PARTS = 3  # lengths in a combination
 
@@ -154,7 +154,7 @@ class WordTokens:
             return b""
         return np.array([t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(BYTE_CHARACTERS))], "<u4").tobytes()
 
-    def texts(self, texts: list[str | None]) -> Iterator[bytes]:
+    def texts(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         for t in texts:
             yield self.text(t or "")
@@ -265,7 +265,7 @@ def pack(df: DataFrame, tokenizer_path: str, doc: str = "doc_id", text: str = "t
 
         for b in batches:
             key_type = b.schema.field(0).type
-            for d, ids in zip(b.column(0).to_pylist(), words.texts(b.column(1).to_pylist()), strict=True):
+            for d, ids in zip(b.column(0).to_pylist(), words.texts(each(b.column(1))), strict=True):
                 packer.add(d, ids)
                 yield from out(8192)
         packer.flush()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import worker_state
+from .common import each, worker_state
 
 #: most labelled documents to learn from
 SAMPLE = 8192
@@ -45,7 +45,7 @@ def word_shape(word: str) -> str:
 class Features:
     """Hashes texts; remembers the two hashes of each word in a bounded table."""
 
-    def __init__(self, bits: int = BITS, remembered: int = 400_000):
+    def __init__(self, bits: int = BITS, remembered: int = 250_000):
         self.shift = np.uint64(64 - bits)
         self.most = remembered
         self._clear()
@@ -153,7 +153,7 @@ def score(df: DataFrame, weights: np.ndarray, text: str = "text", into: str = "s
         hashed, w = worker_state(("quality", bits), lambda: Features(bits)), shared.value
         for b in batches:
             out = []
-            for t in b.column(at_column).to_pylist():
+            for t in each(b.column(at_column)):
                 at, words = hashed.indices(t)
                 out.append(float(sigmoid(float(w[at].sum(dtype=np.float64)) / max(1, words) + float(w[-1]))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, into])

@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, written
+from .common import dropped, each, worker_state, written
 
 GRAM = 32
 MIX = 0x9E3779B97F4A7C15  # an odd constant: 2^64 over the golden ratio
@@ -235,10 +235,11 @@ def _batched(length: int, sizes: Sizes):
             yield filled(int(many.sum()), rows.type, batch=np.full(many.sum(), batch), gram=g[first[many]], n=classes[many].astype(np.int32))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("batches", length), object)  # lets go of what another operator has remembered
         batch, rows, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
         for b in batches:
             from_row = 0
-            for i, text in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
+            for i, text in enumerate(each(b.column(1).cast(pa.binary()))):
                 texts.append(text)
                 held += len(text)
                 if held >= sizes.batch_bytes:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import worker_state
+from .common import each, worker_state
 
 SPACE = "▁"
 BITS = 40
@@ -175,7 +175,7 @@ def count_tokens(df: DataFrame, model_path: str, text: str = "text", into: str =
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = piece_counter(model_path)
         for b in batches:
-            n = pa.array([counter.count(t) for t in b.column(at).to_pylist()], pa.int64())
+            n = pa.array([counter.count(t) for t in each(b.column(at))], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, n], [*b.schema.names, into])
 
     return df.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(counted, schema)
