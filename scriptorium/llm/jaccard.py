@@ -15,10 +15,12 @@ done in blocks and with everything left out that a size-derived bound rules out:
    most of a large group of copies, and what is already in one class needs no more pairs.  Then all pairs of a block whose classes differ are taken, so no link between
    classes is lost, and a group of copies never emits all its pairs.
    Overlap counts are summed for each pair over all its blocks.
-4. A pair whose summed overlap, with all that its sizes leave beyond the prefixes, cannot
-   reach the threshold is discarded; so is one that a bound from folded bitmaps rules out
-   (the symmetric difference is at least the number of differing bits).  The n-grams
-   beyond the prefixes are not multiplied: what is left is verified on the whole sets.
+4. A product of two postings is only made while what either set has left from there on
+   allows a link, and a pair is discarded if its summed overlap and what its sets have left
+   after the last shared posting cannot reach the threshold; so is one that a bound from
+   folded bitmaps rules out (the symmetric difference is at least the number of differing
+   bits).  Products of the n-grams beyond are not made: what is left is verified on the
+   whole sets.
 5. Links are closed to classes by connected components.
 
 Defined results: words are what ASCII white space separates, A-Z lower-cased; a text
@@ -324,29 +326,28 @@ class _Join:
         shared = once.withColumn("sets", F.expr("count(1) OVER (PARTITION BY gram)")).filter("sets > 1").drop("sets")
         return written(shared.withColumn("band", F.expr(self.rule.band("n"))), "postings")
 
-    def near(self, x: str, y: str) -> str:
-        """SQL: sizes allow a link."""
-        return f"{self.rule.den} * least({x}.n, {y}.n) >= {self.rule.num} * greatest({x}.n, {y}.n)"
-
-    def within(self, overlap: str, na: str = "na", nb: str = "nb") -> str:
+    def within(self, overlap: str, na: str, nb: str) -> str:
         """SQL: so large an overlap of sets of such sizes is a link."""
         return f"{self.rule.num + self.rule.den}L * ({overlap}) >= {self.rule.num}L * ({na} + {nb})"
 
+    def near(self, x: str, y: str) -> str:
+        """SQL: sizes, and what either set has left from a shared n-gram on, allow a link whose first one it is."""
+        sizes = f"{self.rule.den} * least({x}.n, {y}.n) >= {self.rule.num} * greatest({x}.n, {y}.n)"
+        return f"{sizes} AND {self.within(f'least({x}.n - {x}.pos, {y}.n - {y}.pos)', f'{x}.n', f'{y}.n')}"
+
     def product(self, met: DataFrame) -> DataFrame:
         """Pairs (a < b) of the block product ``met`` (x, y: set_id, n, pos) with their overlap counts summed, less those that bounds rule out.
 
-        ``overlap`` counts the n-grams that the prefixes share, which come in one order in
-        both sets.  After the end of the prefix that ends first, the pair can share no more
-        than what that set has left; and from its first shared n-gram on, no more than
-        either set has left there.
+        Shared n-grams come in one order in both sets and ``near`` lets the first of them
+        through, so ``overlap`` counts all up to the last that is met; from there on a
+        pair can share no more than either set has left.
         """
         x, y = (F.struct(f"{s}.set_id", f"{s}.n", f"{s}.pos") for s in "xy")
         ends = met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
         summed = ends.groupBy(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).agg(
-            F.count("*").alias("overlap"), F.min("a.n").alias("na"), F.min("b.n").alias("nb"), F.min("a.pos").alias("pa"), F.min("b.pos").alias("pb")
+            F.count("*").alias("overlap"), F.min("a.n").alias("na"), F.min("b.n").alias("nb"), F.max("a.pos").alias("pa"), F.max("b.pos").alias("pb")
         )
-        left = [f"({self.rule.num}L * {n} + {self.rule.den - 1}) DIV {self.rule.den} - 1" for n in ("na", "nb")]  # a set without its prefix
-        return summed.filter(f"{self.within('least(na - pa, nb - pb)')} AND {self.within(f'overlap + greatest({left[0]}, {left[1]})')}")
+        return summed.filter(self.within("overlap + least(na - pa, nb - pb) - 1", "na", "nb"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a < b), those that are linked."""
@@ -376,8 +377,7 @@ class _Join:
         met = blocks.alias("x").join(large.select("gram", "block", F.explode(F.array(*[f"p{r}" for r in range(PIVOTS)])).alias("y")), ["gram", "block"])
         ordered = [F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")]
         # pivots are met in their own blocks only, so their counts are not whole and rule nothing out
-        first_bound = self.within("least(x.n - x.pos, y.n - y.pos)", "x.n", "y.n")
-        links = self.verified(met.filter(f"x.set_id != y.set_id AND {self.near('x', 'y')} AND {first_bound}").select(*ordered).distinct())
+        links = self.verified(met.filter(f"x.set_id != y.set_id AND {self.near('x', 'y')}").select(*ordered).distinct())
         first = connected_components(links)
 
         # what is left: pairs whose classes differ
