@@ -116,7 +116,12 @@ def converter(rules: Sequence[Rule]) -> Callable[[Column], Column]:
     return lambda text: decode(text, rules)
 
 
+MOST_RULES = 4096
+
+
 def rules_of(keymaps: DataFrame, map_key: str) -> list[Rule]:
-    """The rules of one map of a lookup table; a map has a few hundred rows."""
-    rows = keymaps.filter(F.col("map_key") == map_key).orderBy("seq").select("kind", "pattern", "replacement").take(4096)
+    """The rules of one map of a lookup table; a map has a few hundred rows, and one of more than ``MOST_RULES`` is refused."""
+    rows = keymaps.filter(F.col("map_key") == map_key).orderBy("seq").select("kind", "pattern", "replacement").take(MOST_RULES + 1)
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"map {map_key} has more than {MOST_RULES} rules")
     return [tuple(r) for r in rows]

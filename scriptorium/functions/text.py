@@ -320,7 +320,19 @@ def heading_level(text: Column, ordinal: Column) -> Column:
 
 
 def caption_key(text: Column) -> Column:
-    return F.lower(F.regexp_replace(text, rf"[{P.SPACES}\p{{P}}]+", ""))
+    """Letters and numbers only (marks do not count), whatever their case."""
+    return F.lower(F.upper(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")))
+
+
+# fixed values: column heads whose words run together
+HEADER_ALIASES = {"आयोगकोनिर्णय": "आयोगको निर्णय", "मिति/मुद्दानंर": "मिति/मुद्दा नं र"}
+
+
+def header_label(text: Column) -> Column:
+    """A column's head with its white space collapsed, known ones in one spelling."""
+    clean = P.collapsed(text)
+    compact = F.replace(clean, F.lit(" "), F.lit(""))
+    return F.coalesce(*[F.when(compact == tight, F.lit(label)) for tight, label in HEADER_ALIASES.items()], clean)
 
 
 def escape_pipes(text: Column) -> Column:

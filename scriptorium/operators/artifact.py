@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +74,34 @@ def replayed(recorded: DataFrame) -> DataFrame:
     return recorded.withColumns({"status": F.coalesce("status", F.lit("bad-output")), "text": F.coalesce("text", F.lit(""))})
 
 
+def attempt_status(readable: Column, timed_out: Column, exit_code: Column, output: Column) -> Column:
+    """How one attempt to convert a file ended: its own status where its output tells one.
+
+    An exit code below zero is a signal.  Output beats an exit code.
+    """
+    told = F.get_json_object(output, "$.status")
+    silent = F.coalesce(output, F.lit("")) == ""
+    return (
+        F.when(~readable, "unreadable_source").when(timed_out, "timeout")
+        .when(silent & (exit_code < 0), "killed").when(silent & (exit_code > 0), "worker_error")
+        .otherwise(F.coalesce(F.nullif(told, F.lit("")), F.lit("bad_output")))
+    )
+
+
+def availability(requires: Column, backends: Mapping[str, bool]) -> Column:
+    """Whether what a configuration needs is there; one that needs nothing always is, an unknown need never."""
+    there = F.lit(False)
+    for name, ready in backends.items():
+        there = F.when(requires == name, F.lit(ready)).otherwise(there)
+    return F.when(F.coalesce(requires, F.lit("")) == "", F.lit(True)).otherwise(there)
+
+
+def unavailable_reason(requires: Column, available: Column, reasons: Mapping[str, str], otherwise: str = "backend not configured") -> Column:
+    """Why a configuration cannot run; null for one that can."""
+    known = F.coalesce(*[F.when(requires == name, F.lit(reason)) for name, reason in reasons.items()], F.lit(otherwise))
+    return F.when(~available, known)
+
+
 def missing_runs(expanded: DataFrame) -> DataFrame:
     return expanded.filter(F.col("status").isNull()).select(F.concat_ws("--", "document", "config").alias("run")).orderBy("run")
 

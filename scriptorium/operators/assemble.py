@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import text as X
 
 JOIN_GAP = 0.75
 
@@ -88,6 +89,26 @@ def decode_chain(text: Column, rules: Sequence[tuple[Column, Column]]) -> Column
     return chain
 
 
+def decode_span(
+    text: Column, strategy: Column, companion: Column, content: Column, vetoed: Column, latin: Column,
+    legacy: Column, symbols: Column, reorder: Column, private_use: str = r"[\x{F000}\x{F001}]",
+) -> Column:
+    """A span by the first rule for its font.
+
+    Digit companions draw ASCII digits as Devanagari ones; a map found by content gives
+    ``content`` (null: none) unless ``vetoed``, and leaves spans that read as Latin words;
+    fonts of strategy legacy_remap give ``legacy`` (null: no map); symbol fonts give
+    ``symbols`` (null: none); broken or marked text is reordered where ``reorder`` asks it.
+    """
+    found = content.isNotNull() & ~vetoed
+    misplaced = reorder & ((strategy == "broken_cmap") | text.rlike(private_use))
+    return decode_chain(text, [
+        (companion, X.to_devanagari_digits(text)), (found & latin, text), (found, content),
+        (strategy == "legacy_remap", F.coalesce(legacy, text)), (symbols.isNotNull(), symbols),
+        (misplaced, X.fix_devanagari_spacing(X.reorder_devanagari(text))),
+    ])
+
+
 def visual_lines(fragments: Column, tolerance: float = 1.5) -> Column:
     """An array of fragments, by y, as an array of printed lines.
 
@@ -120,3 +141,22 @@ def join_visual_line(line: Column, tolerance: float = 1.5) -> Column:
 
     kept = F.aggregate(line, F.array().cast(kind), step)
     return F.array_join(F.transform(kept, lambda k: k["text"]), " ")
+
+
+def cell_text(fragments: Column, tolerance: float = 1.5) -> Column:
+    """The printed lines of a cell's fragments, one under the other.
+
+    A line of one fragment that repeats a line of one fragment right above it is
+    overprint and dropped; longer lines may repeat.  Blank fragments do not count.
+    """
+    by_place = F.transform(F.array_sort(F.transform(fragments, lambda f: F.struct(f["y0"].alias("y0"), f["x0"].alias("x0"), f.alias("f")))), lambda s: s["f"])
+    lone = lambda line: F.size(F.filter(line, lambda f: P.stripped(f["text"]) != "")) == 1
+    said = F.transform(visual_lines(by_place, tolerance), lambda line: F.struct(join_visual_line(line, tolerance).alias("text"), lone(line).alias("lone")))
+
+    def step(acc: Column, line: Column) -> Column:
+        last = F.element_at(acc, -1)
+        repeats = (F.size(acc) > 0) & (last["text"] == line["text"]) & last["lone"] & line["lone"]
+        return F.when((line["text"] == "") | repeats, acc).otherwise(F.array_append(acc, line))
+
+    kept = F.aggregate(said, F.array().cast("array<struct<text:string,lone:boolean>>"), step)
+    return F.array_join(F.transform(kept, lambda k: k["text"]), "\n")

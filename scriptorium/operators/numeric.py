@@ -53,11 +53,9 @@ def rule_cuts(chars: DataFrame, edges: DataFrame) -> DataFrame:
 def expected_advances(pairs: DataFrame) -> DataFrame:
     """(font, size, c, advance, samples): medians by character and, with c null, by size alone, from three samples on."""
     usable = pairs.filter("size > 0 AND advance > 0 AND advance <= 2").select("font", F.round("size", 2).alias("size"), "c", "advance")
-    usable.createOrReplaceTempView("_advance_samples")
-    return usable.sparkSession.sql(
-        "SELECT font, size, c, median(advance) AS advance, count(*) AS samples FROM _advance_samples "
-        f"GROUP BY GROUPING SETS ((font, size, c), (font, size)) HAVING count(*) >= {MIN_SAMPLES}"
-    )
+    font, size, c = F.col("font"), F.col("size"), F.col("c")
+    medians = usable.groupingSets([[font, size, c], [font, size]], font, size, c).agg(F.median("advance").alias("advance"), F.count("*").alias("samples"))
+    return medians.filter(F.col("samples") >= MIN_SAMPLES)
 
 
 def advance_cuts(pairs: DataFrame, expected: DataFrame) -> DataFrame:
@@ -177,13 +175,16 @@ def needs_geometry(docs: DataFrame, repairs: DataFrame) -> DataFrame:
 
 
 def repair_pipe_line(line: str, merged: str, parts: Sequence[str]) -> str:
-    """Takes a number apart in a pipe line by its digits, whatever stands between them there."""
-    digits = [c for c in merged.translate(_CANONICAL) if c.isdigit()]
+    """Takes a number apart in a pipe line by its digits, whatever stands between them there; what ends the number may follow."""
+    plain = merged.translate(_CANONICAL)
+    digits = [c for c in plain if c in X.ASCII_DIGITS]
     if "|" not in line or len(digits) < 4:
         return line
     either = "0-9" + X.DEVANAGARI_DIGITS[0] + "-" + X.DEVANAGARI_DIGITS[9]
     gap = r"[ \t|\x00]*"
-    found = re.compile(f"(?<![{either}])" + gap.join(f"[{d}{X.DEVANAGARI_DIGITS[int(d)]}]" for d in digits) + f"(?![{either}])")
+    ending = plain[max(plain.rfind(d) for d in digits) + 1 :]
+    tail = "(?:" + "".join(f"[.{X.DANDA}]" if c == "." else re.escape(c) for c in ending) + ")?"
+    found = re.compile(f"(?<![{either}])" + gap.join(f"[{d}{X.DEVANAGARI_DIGITS[int(d)]}]" for d in digits) + f"{tail}(?![{either}])")
     point = X.DANDA if X.DANDA in line else "."
 
     def rendered(m: re.Match) -> str:

@@ -130,11 +130,26 @@ def shared_header_rows(head: Column, continuation: Column, rows: Column) -> Colu
     return F.coalesce(F.get(fits, F.lit(0)), F.lit(0))
 
 
-def record_groups(rows: DataFrame, key: Sequence[str], serial: str = "serial") -> DataFrame:
-    """Adds ``record``: rows without a serial belong to the last one above; before the first, each is its own."""
+# fixed value: what numbers a record, in either script
+RECORD_KEY = r"^[0-9\x{966}-\x{96F}]+[.)\x{964}]?$"
+
+
+def record_groups(rows: DataFrame, key: Sequence[str], serial: str = "serial", continued: str | None = None) -> DataFrame:
+    """Adds ``record`` (from 1 in each table) and ``record_key``.
+
+    A row whose serial reads as a number opens a record, unless it repeats the key of the
+    record that is open; any other row goes on with the open record.  Rows before the
+    first belong to the record ``continued`` from the table before; without that, each is
+    a record of its own, named by its number.
+    """
     w = W.partitionBy(*key).orderBy("row")
-    last = F.last(F.when(F.col(serial) != "", F.col(serial)), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("record", F.coalesce(last, F.concat(F.lit("row "), F.col("row").cast("string"))))
+    stripped = P.stripped(F.col(serial))
+    keyed = rows.withColumn("_key", F.when(stripped.rlike(RECORD_KEY), stripped))
+    before = F.coalesce(F.last("_key", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(continued))
+    told = keyed.withColumn("_before", before).withColumn("_first", F.row_number().over(w) == 1)
+    opens = F.col("_first") | F.when(F.col("_key").isNull(), F.col("_before").isNull()).otherwise(~F.col("_key").eqNullSafe(F.col("_before")))
+    numbered = told.withColumn("record", F.sum(opens.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    return numbered.withColumn("record_key", F.coalesce("_key", "_before", F.col("record").cast("string"))).drop("_key", "_before", "_first")
 
 
 def column_samples(rows: DataFrame, key: Sequence[str], column: str = "col", value: str = "text", most: int = 4) -> DataFrame:

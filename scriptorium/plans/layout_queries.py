@@ -228,7 +228,7 @@ PAGE_VOTE = f"""WITH {_TRIAGE} SELECT doc_id // 10 AS doc_id, count(*) AS pages,
 
 
 def font_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-22, OP-23, OP-24, OP-25, OP-26, OP-60: strategies of part names as font names."""
+    """OP-22, OP-23, OP-24, OP-25, OP-60: strategies of part names as font names."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("ABCDEF+"), "p_name").alias("font"))
     s = X.classify_font(F.col("font"), ["blue", "green"], ["kalimati", "red"])
     f = p.select(F.floor(F.col("p_partkey") / 5).alias("doc_id"), F.lit(1).alias("page"), F.col("p_partkey").alias("ord"), "font", s.alias("strategy"))
@@ -243,7 +243,7 @@ count(*) FILTER (regexp_matches(n, '^(helvetica|times|courier|symbol|zapfdingbat
 
 
 def furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-29, OP-103, OP-104: page numbers next to tables are dropped."""
+    """OP-29, OP-104: page numbers next to tables are dropped."""
     f = fragments(spark, sf_dir).select("doc_id", "ord", F.when(F.col("ord") % 4 == 2, "table").otherwise("paragraph").alias("kind"), F.when(F.col("ord") % 3 == 0, (F.col("ord") % 1500).cast("string")).otherwise(F.col("text")).alias("text"))
     return render.furniture_beside_tables(f, "Is onhe.").select("doc_id", F.col("ord").alias("line"))
 

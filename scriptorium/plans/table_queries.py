@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import keymaps, patterns as P, text as X
-from ..operators import artifact, numeric, pages, render, tables
+from ..operators import artifact, assemble, numeric, pages, render, tables
 from ..sources import files
 from .common import FRAGMENTS, KEYMAPS, KEYS, PLACED, d_chars, d_collapse, d_strip, documents, fragments, placed_fragments, table
 
@@ -82,7 +82,7 @@ PIVOT_GRID = f"WITH {_CELLS} SELECT table_id, r::BIGINT AS row, concat_ws('~', a
 
 
 def render_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-173, OP-151: full-width pipe rows, lone wrapped cells rejoined."""
+    """OP-173: full-width pipe rows, lone wrapped cells rejoined."""
     md = tables.render_raw(tables.expanded_grid(_cells(spark, sf_dir), ["table_id"]), ["table_id"])
     return md.select("table_id", F.md5(F.encode("markdown", "UTF-8")).alias("markdown_md5"))
 
@@ -105,13 +105,41 @@ FROM cells GROUP BY table_id HAVING max(r) >= 1"""
 
 
 def record_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-100: rows inherit the serial above (events of a user; a purchase opens a record)."""
-    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("row"), F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).otherwise("").alias("serial"))
-    return tables.record_groups(e, ["user_id"]).groupBy("user_id", "record").agg(F.count("*").alias("rows"))
+    """OP-100: rows go on with the record above (events of a user; some are numbered, some labelled with no number)."""
+    n = F.col("event_id")
+    serial = F.when(n % 3 == 0, F.concat(F.lit(" "), (F.floor(n / 3) % 2).cast("string"), F.lit("."))).when(n % 3 == 1, "1a").otherwise("")
+    e = table(spark, sf_dir, "events").select("user_id", n.alias("row"), serial.alias("serial"))
+    return tables.record_groups(e, ["user_id"]).groupBy("user_id", "record", "record_key").agg(F.count("*").alias("rows"))
 
 
-RECORD_GROUPS = """WITH s AS (SELECT user_id, event_id AS r, CASE WHEN event_id % 3 = 0 THEN event_id::VARCHAR END AS serial FROM events),
-g AS (SELECT *, coalesce(last_value(serial IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'row ' || r) AS record FROM s) SELECT user_id, record, count(*) AS rows FROM g GROUP BY user_id, record"""
+RECORD_GROUPS = """WITH s AS (SELECT user_id, event_id AS r, CASE WHEN event_id % 3 = 0 THEN (event_id // 3 % 2) || '.' END AS k FROM events),
+p AS (SELECT *, last_value(k IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open FROM s),
+g AS (SELECT *, sum(CASE WHEN k IS NULL THEN open IS NULL ELSE open IS NULL OR k <> open END::INTEGER) OVER (PARTITION BY user_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::INTEGER AS record FROM p)
+SELECT user_id, record, coalesce(k, open, record::VARCHAR) AS record_key, count(*) AS rows FROM g GROUP BY ALL"""
+
+
+def cell_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-93, OP-94: an order's lines as the printed lines of a cell; one that repeats the line above is overprint."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    y = F.col("l_linenumber") * 20.0
+    fragment = F.struct(F.lit(10.0).alias("x0"), y.alias("y0"), F.lit(60.0).alias("x1"), (y + 11.0).alias("y1"), F.when(F.col("q") > 25, " many ").otherwise("few").alias("text"))
+    cells = lines.groupBy("l_orderkey").agg(F.collect_list(fragment).alias("fragments"))
+    return cells.select("l_orderkey", assemble.cell_text(F.col("fragments")).alias("text"))
+
+
+CELL_TEXTS = """WITH l AS (SELECT l_orderkey, l_linenumber AS n, CASE WHEN max(l_quantity) > 25 THEN 'many' ELSE 'few' END AS t FROM lineitem GROUP BY ALL),
+k AS (SELECT *, lag(t) OVER (PARTITION BY l_orderkey ORDER BY n) IS DISTINCT FROM t AS kept FROM l) SELECT l_orderkey, string_agg(t, chr(10) ORDER BY n) AS text FROM k WHERE kept GROUP BY l_orderkey"""
+
+
+def header_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-151: heads of columns, and captions as keys."""
+    k = F.col("p_partkey") % 3
+    head = F.when(k == 0, "आयोग  को निर्णय").when(k == 1, " मिति/मुद्दानं र").otherwise(F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("  "))))
+    return table(spark, sf_dir, "part").select("p_partkey", X.header_label(head).alias("head"), X.caption_key(F.concat_ws(" - ", "p_name", "p_brand")).alias("caption_key"))
+
+
+HEADER_LABELS = r"""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'आयोगको निर्णय' WHEN 1 THEN 'मिति/मुद्दा नं र' ELSE trim(regexp_replace(p_name, ' +', ' ', 'g')) END AS head,
+lower(regexp_replace(p_name || p_brand, '[^\pL\pN]+', '', 'g')) AS caption_key FROM part"""
 
 
 def continued_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +334,7 @@ RUN_OUTCOMES = f"WITH {_RUNS} SELECT document, config, coalesce(status, 'bad-out
 
 
 def outcome_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-77, OP-18."""
+    """OP-77."""
     return artifact.tally(_runs(spark, sf_dir).filter("outcome IS NOT NULL"))
 
 
@@ -342,14 +370,141 @@ SELECT '| Configuration | Pass | Fail | Known issue | Blocked |' || chr(10) || '
 def catalog_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-38, OP-39: documents of a kind with words in them and a failed run, and the run each opens with."""
     runs = _runs(spark, sf_dir).filter("outcome IS NOT NULL").withColumn("ord", F.element_at(F.create_map(F.lit("plain"), F.lit(0), F.lit("repair"), F.lit(1), F.lit("ocr"), F.lit(2)), F.col("config")))
-    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("document"), F.col("lang").alias("kind"), F.left("text", F.lit(80)).alias("title"), F.col("source").alias("publisher"))
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("document"), F.col("lang").alias("kind"), F.coalesce("text", F.lit("")).alias("title"), F.col("source").alias("publisher"))
     found = artifact.filtered(d, runs, outcome="fail", kind="en", words="The")
     return found.join(artifact.default_run(runs, "ocr"), "document").select("document", "config")
 
 
 CATALOG_FILTER = f"""WITH {_RUNS}, r AS (SELECT *, CASE config WHEN 'plain' THEN 0 WHEN 'repair' THEN 1 ELSE 2 END AS ord FROM runs WHERE outcome IS NOT NULL),
 d AS (SELECT document, arg_min(config, row(CASE WHEN config = 'ocr' THEN 0 WHEN outcome <> 'reference' THEN 1 ELSE 2 END, ord)) AS config FROM r GROUP BY document)
-SELECT d.document, d.config FROM d JOIN documents x ON d.document = 'doc-' || x.doc_id WHERE lang = 'en' AND contains(lower(concat_ws(' ', left(text, 80), source, lang)), 'the') AND EXISTS (SELECT 1 FROM r WHERE r.document = d.document AND outcome = 'fail')"""
+SELECT d.document, d.config FROM d JOIN documents x ON d.document = 'doc-' || x.doc_id WHERE lang = 'en' AND contains(lower(concat_ws(' ', coalesce(text, ''), source, lang)), 'the') AND EXISTS (SELECT 1 FROM r WHERE r.document = d.document AND outcome = 'fail')"""
+
+
+def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-18: logged responses, of which half name their counters in the older way."""
+    n, old = F.col("event_id"), F.col("event_id") % 2 == 0
+    e = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("config"), F.when(old, n % 100).alias("prompt_tokens"), F.when(~old, n % 90).alias("input_tokens"),
+        F.when(old, n % 80).alias("completion_tokens"), F.when(~old, n % 70).alias("output_tokens"),
+    )
+    return files.usage_totals(e)
+
+
+USAGE_TOTALS = """SELECT event_type AS config, count(*) AS calls, sum(CASE WHEN event_id % 2 = 0 THEN event_id % 100 ELSE event_id % 90 END)::BIGINT AS input_tokens,
+sum(CASE WHEN event_id % 2 = 0 THEN event_id % 80 ELSE event_id % 70 END)::BIGINT AS output_tokens FROM events GROUP BY event_type"""
+
+
+def attempt_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-188: how attempts to convert ended."""
+    n = F.col("event_id")
+    output = F.when(n % 3 == 1, F.concat(F.lit('{"status":"'), "event_type", F.lit('"}'))).when(n % 3 == 2, "no record").otherwise("")
+    return table(spark, sf_dir, "events").select("event_id", artifact.attempt_status(n % 11 != 0, n % 7 == 0, n % 5 - 2, output).alias("status"))
+
+
+ATTEMPT_STATUSES = """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'unreadable_source' WHEN event_id % 7 = 0 THEN 'timeout' WHEN event_id % 3 = 0 AND event_id % 5 < 2 THEN 'killed'
+WHEN event_id % 3 = 0 AND event_id % 5 > 2 THEN 'worker_error' WHEN event_id % 3 = 1 THEN event_type ELSE 'bad_output' END AS status FROM events"""
+
+
+def backend_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-189: configurations that need nothing, a service that is there, one that is not, and an unknown one."""
+    needs = F.element_at(F.array(F.lit(""), F.lit("service"), F.lit("local"), F.lit("other")), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    ready = table(spark, sf_dir, "nation").select("n_nationkey", needs.alias("requires")).withColumn("available", artifact.availability(F.col("requires"), {"service": True, "local": False}))
+    return ready.withColumn("reason", artifact.unavailable_reason(F.col("requires"), F.col("available"), {"local": "no local server"}))
+
+
+BACKEND_AVAILABILITY = """SELECT n_nationkey, ['', 'service', 'local', 'other'][n_nationkey % 4 + 1] AS requires, n_nationkey % 4 < 2 AS available,
+CASE n_nationkey % 4 WHEN 2 THEN 'no local server' WHEN 3 THEN 'backend not configured' END AS reason FROM nation"""
+
+
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-196: orders with their lines as JSON, and read back."""
+    lines = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))))
+    o = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order")).agg(lines.alias("lines"), F.lit(None).cast("string").alias("note"))
+    told = o.select("order", files.encoded("order", "lines", "note").alias("t"))
+    back = files.decoded(F.col("t"), "order long, lines array<struct<line:long,part:long>>, note string")
+    return told.select("order", F.md5(F.encode("t", "UTF-8")).alias("json_md5"), F.aggregate(back["lines"], F.lit(0).cast("long"), lambda s, x: s + x["part"]).alias("parts"))
+
+
+JSON_RECORDS = """SELECT l_orderkey AS "order", md5('{"order":' || l_orderkey || ',"lines":[' || string_agg('{"line":' || l_linenumber || ',"part":' || l_partkey || '}', ',' ORDER BY l_linenumber, l_partkey) || '],"note":null}') AS json_md5,
+sum(l_partkey)::BIGINT AS parts FROM lineitem GROUP BY l_orderkey"""
+
+
+def http_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-40: addresses that may be followed; every third is made one that may not."""
+    k = F.col("page_id") % 3
+    return table(spark, sf_dir, "pages").select("page_id", files.http_url(F.when(k == 0, F.concat(F.lit("ftp:"), "url")).when(k == 1, F.concat(F.lit("  "), "url")).otherwise(F.col("url"))).alias("url"))
+
+
+HTTP_URLS = f"SELECT page_id, CASE WHEN page_id % 3 <> 0 AND regexp_matches({d_strip('url')}, '(?i)^https?://[^/?#{P.SPACES}]') THEN {d_strip('url')} END AS url FROM pages"
+
+
+def corpus_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-07: known suffixes in any case, and explicit files with any."""
+    suffix = F.element_at(F.array(F.lit(".pdf"), F.lit(".DOCX"), F.lit(".doc"), F.lit(".txt")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    every = table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("/"), "p_name", suffix).alias("path"), "p_size")
+    return files.list_corpus(every.select("path"), every.filter("p_size > 25").select("path"))
+
+
+CORPUS_LISTING = """SELECT DISTINCT p_brand || '/' || p_name || ['.pdf', '.DOCX', '.doc', '.txt'][p_partkey % 4 + 1] AS path FROM part WHERE p_partkey % 4 < 3 OR p_size > 25"""
+
+
+def size_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-164: whole numbers above zero, else the default."""
+    k = F.col("p_partkey") % 4
+    value = F.when(k == 0, F.col("p_size").cast("string")).when(k == 1, F.concat(F.lit("-"), F.col("p_size").cast("string"))).when(k == 2, F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", files.parse_size(value, 512).alias("size"))
+
+
+SIZE_SETTINGS = "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 AND p_size > 0 THEN p_size ELSE 512 END::INTEGER AS size FROM part"
+
+
+def degraded_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-153: what failed for want of resources is stamped, and the stamp reads back."""
+    error = F.element_at(F.array(F.lit("MemoryError"), F.lit("OSError"), F.lit("ValueError")), (F.col("doc_id") % 3 + 1).cast("int"))
+    stamped = documents(spark, sf_dir).select("doc_id", X.stamp_degraded(F.col("text"), error).alias("t"))
+    return stamped.select("doc_id", F.md5(F.encode("t", "UTF-8")).alias("text_md5"), X.degraded_error(F.col("t")).alias("error"))
+
+
+DEGRADED_STAMPS = """SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN '<!-- degraded: MemoryError -->' || chr(10) || chr(10) WHEN 1 THEN '<!-- degraded: OSError -->' || chr(10) || chr(10) ELSE '' END || coalesce(text, '')) AS text_md5,
+CASE doc_id % 3 WHEN 0 THEN 'MemoryError' WHEN 1 THEN 'OSError' END AS error FROM documents"""
+
+
+def press_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-131: lines behind a bullet, a symbol-font glyph or a reordering marker, which is no symbol."""
+    opening = F.element_at(F.array(F.lit("• "), F.lit(chr(0xF0B7) + " "), F.lit(chr(0xF001) + " ")), (F.col("line_number") % 3 + 1).cast("int"))
+    f = fragments(spark, sf_dir).select("doc_id", F.col("line_number").cast("long").alias("line"), X.normalize_press_line(F.concat(opening, "text")).alias("t"))
+    return f.select("doc_id", "line", F.md5(F.encode("t", "UTF-8")).alias("text_md5"))
+
+
+PRESS_LINES = f"""WITH {FRAGMENTS} SELECT doc_id, line, md5(regexp_replace({d_collapse("CASE WHEN line % 3 = 2 THEN chr(61441) ELSE '-' END || ' ' || text")}, ' ([।,:;])', '\\1', 'g')) AS text_md5 FROM frag"""
+
+
+def pipe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-150: figures run together in a pipe line, taken apart by their digits; the merged text ends in a point."""
+    n = (F.col("o_orderkey") % 9000 + 1000).cast("string")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.left(n, F.lit(2)).alias("a"), F.right(n, F.lit(2)).alias("b"))
+    line = F.concat(F.lit("| x | "), "a", F.lit(" "), "b", F.lit(". |"))
+    merged, parts = F.concat("a", "b", F.lit(".")), F.array(F.col("a"), F.concat("b", F.lit(".")))
+    return o.select("o_orderkey", numeric.repaired_pipe_lines(line, merged, parts).alias("line"))
+
+
+PIPE_LINES = "SELECT o_orderkey, '| x | ' || left(n, 2) || ' | ' || right(n, 2) || '. |' AS line FROM (SELECT o_orderkey, (o_orderkey % 9000 + 1000)::VARCHAR AS n FROM orders)"
+
+
+def span_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-143: lines as spans of fonts of every kind, each decoded by the first rule for it."""
+    n, t = F.col("line_number"), F.col("text")
+    strategy = F.when(n % 7 < 3, "legacy_remap").when(n % 7 < 5, "broken_cmap").otherwise("correct")
+    decoded = assemble.decode_span(
+        t, strategy, n % 11 == 0, F.when(n % 3 == 0, F.translate(t, KEYS, KEYMAPS["first"])), n % 2 == 0, F.contains(t, F.lit("the")),
+        F.when(n % 7 < 2, F.translate(t, "abc", "xyz")), F.when(n % 5 == 0, F.translate(t, "eo", "EO")), F.lit(True),
+    )
+    return fragments(spark, sf_dir).select("doc_id", n.cast("long").alias("line"), F.md5(F.encode(decoded, "UTF-8")).alias("text_md5"))
+
+
+SPAN_DECODING = f"""WITH {FRAGMENTS} SELECT doc_id, line, md5(CASE WHEN line % 11 = 0 THEN translate(text, '0123456789', '०१२३४५६७८९') WHEN line % 3 = 0 AND line % 2 = 1 AND contains(text, 'the') THEN text
+WHEN line % 3 = 0 AND line % 2 = 1 THEN translate(text, '{KEYS}', '{KEYMAPS['first']}') WHEN line % 7 < 2 THEN translate(text, 'abc', 'xyz') WHEN line % 7 < 3 THEN text
+WHEN line % 5 = 0 THEN translate(text, 'eo', 'EO') ELSE text END) AS text_md5 FROM frag"""
 
 
 def usage_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,7 +519,7 @@ SELECT event_id, CASE WHEN dc >= 0 AND di >= 0 AND dn >= 0 THEN dc END AS calls,
 
 
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-12, OP-07: names that collide get -2, -3, …"""
+    """OP-12: names that collide get -2, -3, …"""
     f = table(spark, sf_dir, "part").select(F.col("p_brand").alias("directory"), F.split("p_name", " ")[0].alias("stem"), F.col("p_partkey").alias("ord"))
     return render.output_names(f).select("ord", "directory", "name")
 
@@ -374,7 +529,7 @@ SELECT ord, directory, CASE WHEN n = 1 THEN stem ELSE stem || '-' || n END AS na
 
 
 def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-20, OP-164: page specifications of every kind."""
+    """OP-20: page specifications of every kind."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 12 + 1).alias("total"), F.element_at(F.array(*map(F.lit, ("3", "2-5", "0", "7-2", "x", "1-", "9-20"))), (F.col("o_orderkey") % 7 + 1).cast("int")).alias("spec"))
     return o.select("o_orderkey", pages.page_range(F.col("spec"), F.col("total")).alias("r")).select("o_orderkey", "r.first", "r.last", "r.error")
 
@@ -468,6 +623,6 @@ def minimal_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("l_orderkey", numeric.minimal_partition("segments", F.transform("segments", lambda s: F.lit(False))).alias("cuts"))
 
 
-QUERIES = {f.__name__: f for f in (cells_in_region, cells_outside_regions, insertion_indexes, pivot_grid, render_rows, markdown_tables, record_groups, continued_tables, column_samples, plausible_numbers, normalized_dates, median_advance, edge_stab, partition_evidence, unique_partition, dedupe_last, mode_first, nearest_mark, signature_votes, outline_map, run_outcomes, outcome_tally, outcome_pivot, missing_runs, summary_markdown, catalog_filter, usage_delta, output_names, page_ranges, page_selection, devanagari_reorder, symbol_remap, tied_maps, number_splits, title_lines, junit_outcomes, minimal_partitions)}
+QUERIES = {f.__name__: f for f in (cells_in_region, cells_outside_regions, insertion_indexes, pivot_grid, render_rows, markdown_tables, record_groups, cell_texts, header_labels, usage_totals, attempt_statuses, backend_availability, json_records, http_urls, corpus_listing, size_settings, degraded_stamps, press_lines, pipe_lines, span_decoding, continued_tables, column_samples, plausible_numbers, normalized_dates, median_advance, edge_stab, partition_evidence, unique_partition, dedupe_last, mode_first, nearest_mark, signature_votes, outline_map, run_outcomes, outcome_tally, outcome_pivot, missing_runs, summary_markdown, catalog_filter, usage_delta, output_names, page_ranges, page_selection, devanagari_reorder, symbol_remap, tied_maps, number_splits, title_lines, junit_outcomes, minimal_partitions)}
 ORACLES = {n: globals()[n.upper()] for n in QUERIES if n.upper() in globals()}
 __all__ = ["ORACLES", "QUERIES", "d_collapse", "d_strip"]

@@ -11,7 +11,8 @@ import importlib.util
 import shutil
 import subprocess
 import tempfile
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +85,38 @@ def word_texts(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(read, "path string, text string, status string")
 
 
+ATTEMPTS = "path string, readable boolean, timed_out boolean, exit_code int, output string, errors string, wall_s double"
+
+
+def run_converter(files: DataFrame, command: Sequence[str], timeout_s: float = 300) -> DataFrame:
+    """Attempts (path, readable, timed_out, exit_code, output, errors, wall_s) of a program on files (path, content).
+
+    Each file has a process of its own, its name as the last argument, so a crash or a
+    hang is a row and never ends the job.  ``artifact.attempt_status`` judges the rows.
+    A file without content is unreadable.
+    """
+    command = list(command)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path_, content in zip(b["path"], b["content"], strict=True):
+                if content is None:
+                    row = (path_, False, False, None, None, None, None)
+                else:
+                    with tempfile.NamedTemporaryFile() as f:
+                        f.write(bytes(content))
+                        f.flush()
+                        begun = time.monotonic()
+                        try:
+                            done = subprocess.run([*command, f.name], capture_output=True, timeout=timeout_s)
+                            row = (path_, True, False, done.returncode, done.stdout.decode(errors="replace"), done.stderr.decode(errors="replace"), time.monotonic() - begun)
+                        except subprocess.TimeoutExpired:
+                            row = (path_, True, True, None, None, None, float(timeout_s))
+                yield pd.DataFrame([row], columns=[c.split(" ")[0] for c in ATTEMPTS.split(", ")])
+
+    return files.select("path", "content").mapInPandas(read, ATTEMPTS)
+
+
 def ocr_candidates(pages: DataFrame, provider: Callable[[bytes], str] | None, content: str = "image") -> DataFrame:
     """Adds ``ocr_text`` by a provider (page image -> text); without one the candidate is absent (null)."""
     if provider is None:

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import patterns as P
+
 SUFFIXES = ("pdf", "docx", "doc")
 
 
@@ -33,6 +35,12 @@ def open_status(name: Column, content: Column) -> Column:
     )
 
 
+def http_url(value: Column) -> Column:
+    """An absolute http or https address with a host, without white space around it; null for anything else."""
+    trimmed = P.stripped(value)
+    return F.when(trimmed.rlike(rf"(?i)^https?://[^/?#{P.SPACES}]+"), trimmed)
+
+
 def list_corpus(files: DataFrame, explicit: DataFrame | None = None, path: str = "path") -> DataFrame:
     """Paths with a known suffix, and explicit ones with any, each once, sorted."""
     known = files.filter(F.lower(path).rlike(rf"\.({'|'.join(SUFFIXES)})$")).select(path)
@@ -58,6 +66,16 @@ def write_records(records: DataFrame, path: str) -> None:
     records.orderBy("file").write.mode("overwrite").json(path)
 
 
+def encoded(*columns: str) -> Column:
+    """A nested record as JSON, nulls written out."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def decoded(text: Column, schema: str) -> Column:
+    """A nested record from JSON; null for text that is no JSON."""
+    return F.when(F.get_json_object(text, "$").isNotNull(), F.from_json(text, schema))
+
+
 def read_catalog(spark: SparkSession, path: str, schema: str, version: int = 1) -> DataFrame:
     """A JSON artifact of a known version; another version fails the read where it is used."""
     found = spark.read.schema(schema).option("multiLine", True).json(path)

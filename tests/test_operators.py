@@ -1,5 +1,8 @@
 """Operators on small literal tables."""
 
+import sys
+
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import artifact, assemble, layout, measure, merge, numeric, pages, render, select, tables
@@ -221,3 +224,62 @@ def test_ligatures_of_a_long_chain_are_resolved(spark):
     rules = spark.createDataFrame([("f", i, i, [i - 1, 0]) for i in range(1, 37)], "font string, rule int, glyph int, components array<int>")
     got = {r.glyph: r.text for r in cmaps.ligature_closure(known, rules).collect()}
     assert got == {i: "a" * (i + 1) for i in range(37)}
+
+
+def test_records_need_numbers_and_go_on(spark):
+    rows = [(1, "S.N."), (2, ""), (3, "1."), (4, ""), (5, " 1. "), (6, "note"), (7, "२"), (8, "1."), (9, None)]
+    df = spark.createDataFrame([(7, *r) for r in rows], "t int, row int, serial string")
+    told = lambda d: [(r.record, r.record_key) for r in d.orderBy("row").collect()]
+    opened = [(3, "1.")] * 4 + [(4, "२"), (5, "1."), (5, "1.")]
+    assert told(tables.record_groups(df, ["t"])) == [(1, "1"), (2, "2"), *opened]
+    assert told(tables.record_groups(df, ["t"], continued="9")) == [(1, "9"), (1, "9"), *[(n - 1, k) for n, k in opened]]
+    assert told(tables.record_groups(df, ["t"], continued="1.")) == [(1, "1.")] * 6 + [(2, "२"), (3, "1."), (3, "1.")]
+
+
+def test_pipe_lines_end_as_the_number_does():
+    assert numeric.repair_pipe_line("| १२ ३४। |", "१२३४।", ["१२", "३४।"]) == "| १२ | ३४। |"
+    assert numeric.repair_pipe_line("| 12 34 |", "1234.", ["12", "34."]) == "| 12 | 34. |"
+    assert numeric.repair_pipe_line("| 12 345 |", "1234", ["12", "34"]) == "| 12 345 |"
+
+
+def test_cells_lose_overprinted_lines_only(spark):
+    kind = "array<struct<x0:double,y0:double,x1:double,y1:double,text:string>>"
+    at = lambda x, y, t: (float(x), float(y), x + 9.0, y + 10.0, t)
+    cells = {
+        "overprint": ([at(0, 0, "a"), at(0, 20, "a"), at(5, 20, " "), at(0, 40, "b")], "a\nb"),
+        "rows": ([at(0, 0, "a"), at(20, 0, "b"), at(0, 20, "a"), at(20, 20, "b")], "a b\na b"),
+        "order": ([at(0, 20, "z"), at(0, 0, "y")], "y\nz"),
+        "empty": ([], ""),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in cells.items()], f"k string, fs {kind}")
+    assert {r.k: r.t for r in df.select("k", assemble.cell_text(F.col("fs")).alias("t")).collect()} == {k: v[1] for k, v in cells.items()}
+
+
+def test_converters_run_in_processes_of_their_own(spark):
+    program = "import sys, os, time; t = open(sys.argv[1]).read(); exec(t)"
+    scripts = {
+        "ok": "print('{\"status\":\"ok\",\"text\":\"x\"}')", "own": "print('{\"status\":\"error\"}'); sys.exit(3)", "bad_output": "print('not json')", "empty": "",
+        "killed": "os.kill(os.getpid(), 9)", "worker_error": "sys.exit(2)", "timeout": "time.sleep(60)", "unreadable_source": None,
+    }
+    wanted = {**{k: k for k in scripts}, "own": "error", "empty": "bad_output"}
+    files_ = spark.createDataFrame([(k, None if v is None else bytearray(v.encode())) for k, v in scripts.items()], "path string, content binary")
+    attempts = connectors.run_converter(files_, [sys.executable, "-c", program], timeout_s=10)
+    status = artifact.attempt_status(F.col("readable"), F.col("timed_out"), F.col("exit_code"), F.col("output"))
+    assert {r.path: r.status for r in attempts.select("path", status.alias("status")).collect()} == wanted
+
+
+def test_urls_and_json_that_are_none(spark):
+    df = spark.createDataFrame([(t,) for t in ["HTTPS://a.b/c", " http://x ", "javascript:alert(1)", "http://", "http:///p", "/rel", None]], "u string")
+    assert [r[0] for r in df.select(files.http_url(F.col("u"))).collect()] == ["HTTPS://a.b/c", "http://x", None, None, None, None, None]
+    df = spark.createDataFrame([('{"a":1,"b":{"c":null}}',), ("no",), (None,)], "t string")
+    back = [r[0] for r in df.select(files.decoded(F.col("t"), "a int, b struct<c:string>")).collect()]
+    assert back[0].a == 1 and back[0].b.c is None and back[1:] == [None, None]
+
+
+def test_maps_of_too_many_rules_are_refused(spark):
+    from scriptorium.functions import keymaps
+
+    rules = spark.range(keymaps.MOST_RULES + 1).selectExpr("'m' AS map_key", "id AS seq", "'char' AS kind", "'a' AS pattern", "'b' AS replacement")
+    with pytest.raises(ValueError, match="more than"):
+        keymaps.rules_of(rules, "m")
+    assert len(keymaps.rules_of(rules.filter("seq < 10"), "m")) == 10
