@@ -227,16 +227,17 @@ MOST_MARKS = 1000
 
 
 def nearest_mark(glyphs: DataFrame, marks: DataFrame, most: int = 350) -> DataFrame:
-    """The mark whose feature vector is nearest by L1, the first of equals; farther than ``most``: none.
+    """The mark whose feature vector is nearest by L1, the first of equals; farther than ``most``: none.  A row of ``glyphs`` gives at most one.
 
     ``marks`` (ord, mark, feature) are the handful of candidate vowel signs of a font: at most ``MOST_MARKS``.
     """
     if marks.limit(MOST_MARKS + 1).count() > MOST_MARKS:
         raise ValueError(f"more than {MOST_MARKS} marks")
-    distance = F.aggregate(F.zip_with("feature", "_mf", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, d: s + d)
-    pairs = glyphs.join(marks.select(F.col("ord").alias("_mo"), "mark", F.col("feature").alias("_mf")), how="cross").withColumn("distance", distance)
-    best = pairs.groupBy("glyph").agg(F.min_by(F.struct("mark", "distance"), F.struct("distance", "_mo")).alias("b"))
-    return best.filter(F.col("b.distance") <= most).select("glyph", "b.mark", "b.distance")
+    listed = marks.agg(F.collect_list(F.struct("ord", "mark", "feature")).alias("_marks"))  # one row of at most MOST_MARKS
+    distance = lambda m: F.aggregate(F.zip_with("feature", m["feature"], lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, d: s + d)
+    told = F.transform("_marks", lambda m: F.struct(distance(m).alias("distance"), m["ord"].alias("ord"), m["mark"].alias("mark")))
+    best = glyphs.join(F.broadcast(listed), how="cross").withColumn("_b", F.array_min(told))
+    return best.filter(F.col("_b.distance") <= most).select("glyph", "_b.mark", "_b.distance")
 
 
 def modal_text(observations: DataFrame, key: str = "glyph") -> DataFrame:
