@@ -412,7 +412,8 @@ def _spans(batches: DataFrame, verdicts: DataFrame, length: int, sizes: Sizes) -
     met = written(partnered.mapInArrow(_single_windows(length), AROUND_SCHEMA + ", stop int"), "met")
     split = _families(met.filter("text IS NOT NULL"), length, sizes, windows=64)
     spans = plain.unionByName(met.filter("text IS NULL").select("batch", "doc", F.col("first").alias("start"), "stop")).unionByName(split)
-    out = written(spans, "spans")
+    # families are many and short: their few spans are gathered first, as each file that a task writes costs its executor a process
+    out = written(spans.hint("rebalance"), "spans")
     dropped(around)
     dropped(met)
     return out
