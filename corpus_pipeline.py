@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import table, written
+from scriptorium.llm.common import small_batches, table, written
 from scriptorium.llm.jaccard import Rule, first_of_classes, text_digest
 from scriptorium.llm.mixing import Mixer, copies, fit_domains, tempered
 from scriptorium.llm.packing import pack
@@ -27,6 +27,7 @@ WINDOW, END_ID = 2048, 1
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
+    small_batches(spark)
     scored = scored_documents(docs, docs, table(spark, sf_dir, "labels"))
     return scored.filter(F.col("score") >= THRESHOLD).select(*[f"`{c}`" for c in docs.columns])
 
@@ -37,6 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat each other in key and text count as one document.  A row without a
     key stays only where its class has none with a key, and one such row of a class.
     """
+    small_batches(spark)
     first = first_of_classes(docs, NEAR).select(F.col("doc").alias("_key"), F.col("digest").alias("_digest"), "rows")
     told = docs.withColumn("_told", text_digest("text"))
     kept = told.join(first, F.expr("CAST(doc_id AS LONG) <=> _key AND _told = _digest"))
@@ -47,6 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out every passage of 200 bytes or more that also stands elsewhere."""
+    small_batches(spark)
     cut = dedupe_substrings(docs, length=REPEAT_BYTES)
     cut = cut.withColumn("text", F.col("kept_text"))
     if "n_chars" in docs.columns:
@@ -56,6 +59,7 @@ def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents so that the languages' token totals meet tempered targets."""
+    small_batches(spark)
     model = fit_domains(docs, "doc_id", "text", "lang", table(spark, sf_dir, "labels"))
     mixer = Mixer(docs, model, least_rate=1.0).fit(tempered(TEMPER))
     times = copies(F.col("rate"), F.col("doc_id"))
@@ -64,6 +68,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 token ids, a row for each piece of a document."""
+    small_batches(spark)
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=WINDOW, end_id=END_ID, with_ids=True)

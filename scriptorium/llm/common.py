@@ -78,6 +78,20 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(remove)
 
 
+#: of a batch of rows on its way to a Python worker
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python workers by bytes, unless the session does so itself.
+
+    By rows alone, 10,000 long texts stand in the worker and, outside the heap, in the executor.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 _held: dict = {}
 
 

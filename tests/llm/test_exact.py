@@ -6,9 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from scriptorium.llm import chat, fingerprints, jaccard, media, packing, suffix_dedup, tiff, token_counts, url_filters
@@ -218,6 +220,30 @@ def test_spans_of_many_families_are_few_files(spark, monkeypatch):
     assert files["spans"] <= int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_stages_of_the_pipeline_bound_the_bytes_of_batches(spark):
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 5000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 1000).alias("text"))
+    sizes = lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches)
+    before = spark.conf.get(name, None)
+    try:
+        for _, stage in corpus_pipeline.STAGES:  # each ends where it asks for its tables
+            spark.conf.unset(name)
+            with pytest.raises((AttributeError, AnalysisException)):
+                stage(spark, None, "/nowhere")
+            assert spark.conf.get(name, None) is not None
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 5_000_000
+        spark.conf.set(name, "1000000")
+        with pytest.raises(AttributeError):
+            corpus_pipeline.packed(spark, None, "/nowhere")
+        assert spark.conf.get(name) == "1000000"
+    finally:
+        spark.conf.unset(name)
+        if before is not None:
+            spark.conf.set(name, before)
+
+
 def test_index_family_merges_geometrically():
     rng = np.random.default_rng(3)
     family = suffix_dedup.IndexFamily(20)
