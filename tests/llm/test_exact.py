@@ -244,6 +244,34 @@ def test_stages_of_the_pipeline_bound_the_bytes_of_batches(spark):
             spark.conf.set(name, before)
 
 
+def test_blocks_of_crowded_surroundings_are_made_once(spark, monkeypatch):
+    made, wanted, blocks, write = spark.sparkContext.accumulator(0), [], suffix_dedup._blocks, suffix_dedup.written
+
+    def counted(length, size):
+        def count(batches):
+            for b in blocks(length, size)(batches):
+                made.add(b.num_rows)
+                yield b
+
+        return count
+
+    def seen(df, label, **options):
+        out = write(df, label, **options)
+        if label == "around":
+            wanted.append(sum(b.num_rows for b in blocks(200, 8)(iter(out.filter("crowded").toArrow().to_batches()))))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_blocks", counted)
+    monkeypatch.setattr(suffix_dedup, "written", seen)
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = letters(260)
+    texts = [letters(90) + passage + letters(90) for _ in range(20)]
+    rows = suffix_dedup.dedupe_substrings(table(spark, texts), sizes=suffix_dedup.Sizes(crowded=2)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == brute_repeats(texts, 200)
+    assert 0 < made.value == wanted[0]
+
+
 def test_index_family_merges_geometrically():
     rng = np.random.default_rng(3)
     family = suffix_dedup.IndexFamily(20)
