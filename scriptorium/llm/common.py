@@ -59,8 +59,13 @@ def dropped(df: DataFrame) -> None:
     """Removes a table of ``written`` that no later step reads, and lets Spark free unreachable shuffles."""
     for path in df.inputFiles()[:1]:
         _remove(df.sparkSession, path.rsplit("/", 1)[0])
+    freed(df.sparkSession)
+
+
+def freed(spark: SparkSession) -> None:
+    """Lets Spark free the shuffles that no later step can reach; else they stay until the driver happens to collect its garbage."""
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, each, worker_state, written
+from .common import checkpointed, dropped, each, freed, worker_state, written
 from .components import connected_components
 
 #: n-grams listed as frequent, and the count in a run of documents from which one is a candidate;
@@ -355,19 +355,24 @@ class _Join:
         with_maps = pairs.join(maps.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ma")), "a")
         with_maps = with_maps.join(maps.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("mb")), "b")
         likely = checkpointed(with_maps.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_alike_maps(self.rule), "a long, b long"))
+        freed(pairs.sparkSession)  # the product's shuffles
         wanted = checkpointed(likely.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(self.sets.select("set_id", "doc"), "set_id"))
         holders = wanted.select("doc").distinct().alias("w")
         texts = self.docs.alias("d").join(holders, F.expr("d.doc <=> w.doc"), "left_semi").select("text")
         made = texts.mapInArrow(_sets(self.rule, self.seed), "set_id long, grams binary")
         # rows that share a key with a wanted set may hold other sets
         whole = written(made.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "whole")
+        freed(pairs.sparkSession)
         pairs = likely.join(whole.select(F.col("set_id").alias("a"), F.col("grams").alias("ga")), "a")
         pairs = pairs.join(whole.select(F.col("set_id").alias("b"), F.col("grams").alias("gb")), "b")
-        return checkpointed(pairs.select("a", "b", "ga", "gb").mapInArrow(_linked(self.rule), "a long, b long"))
+        linked = checkpointed(pairs.select("a", "b", "ga", "gb").mapInArrow(_linked(self.rule), "a long, b long"))
+        dropped(whole)
+        return linked
 
     def classes(self) -> DataFrame:
         """(set_id, class): the class of every set that is linked to another."""
         postings = self.postings()
+        freed(postings.sparkSession)
         blocks = postings.withColumn("block", F.explode(F.array("band", F.expr("band - 1"))))
         sizes = blocks.groupBy("gram", "block").agg(
             F.count("*").alias("sets"),
@@ -387,6 +392,7 @@ class _Join:
         main = per_class.groupBy("gram", "block").agg(F.sum("c").alias("sets"), F.count("*").alias("classes"), F.max_by("class", F.struct("c", "class")).alias("main"))
         open_blocks = main.filter("classes > 1").select("gram", "block", "main", "sets")
         inside = written(classed.join(open_blocks, ["gram", "block"]), "open")
+        dropped(postings)
         # in a large block, only those outside its main class look for partners
         seekers = inside.filter(f"sets < {LARGE_BLOCK} OR class != main").alias("x")
         partners = inside.withColumn("seeks", F.expr(f"sets < {LARGE_BLOCK} OR class != main")).alias("y")
@@ -394,6 +400,7 @@ class _Join:
             "x.class != y.class AND (NOT y.seeks OR x.set_id < y.set_id) AND (x.band = block OR y.band = block) AND " + self.near("x", "y")
         )
         more = self.verified(self.product(met).select("a", "b"))
+        dropped(inside)
         found = connected_components(links.unionByName(more))
         return found.withColumnRenamed("node", "set_id").withColumnRenamed("component", "class")
 

@@ -1,9 +1,11 @@
 """Operators against brute force, library results and exact round trips, with odd inputs."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +149,26 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_tables_of_a_join_go_as_they_are_used_up(spark, monkeypatch):
+    tables, write = [], jaccard.written
+
+    def seen(df, label, **options):
+        out = write(df, label, **options)
+        tables.append((label, os.path.dirname(urlsplit(out.inputFiles()[0]).path)))
+        assert os.path.isdir(tables[-1][1])
+        return out
+
+    monkeypatch.setattr(jaccard, "written", seen)
+    rng = random.Random(7)
+    base = [[f"w{rng.randrange(200)}" for _ in range(60)] for _ in range(12)]
+    texts = [" ".join(w[:i] + ["new"] + w[i:]) for w in base for i in range(0, 60, 6)]
+    rule = jaccard.Rule(5, 80, 100)
+    found = jaccard.near_duplicate_classes(table(spark, texts), rule)
+    assert {"sets", "postings", "open", "whole"} == {label for label, _ in tables}
+    assert {label for label, path in tables if os.path.isdir(path)} == {"sets"}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute_classes(texts, rule)
+
+
 def test_bitmaps_never_rule_out_a_link():
     rng = np.random.default_rng(2)
     for n, m in ((5, 6), (100, 110), (120, 130), (700, 640)):
