@@ -16,6 +16,15 @@ def _text(hexes: Column) -> Column:
     return F.decode(F.unhex(hexes), "UTF-16BE")
 
 
+def _code_point(number: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+
+
+def _at_least_four(hexes: Column) -> Column:
+    """Padded with zeros to four digits; longer ones, of glyph ids above FFFF, stay whole (``lpad`` cuts)."""
+    return F.lpad(hexes, F.greatest(F.char_length(hexes), F.lit(4)), "0")
+
+
 def _number(hexes: Column) -> Column:
     return F.conv(hexes, 16, 10).cast("int")
 
@@ -36,7 +45,7 @@ def parse_cmaps(df: DataFrame, cmap: str, key: list[str]) -> DataFrame:
         lambda p: F.filter(F.transform(F.regexp_extract_all(p["l"], F.lit(h), F.lit(1)), lambda u, i: F.when(_number(p["a"]) + i <= _number(p["b"]), F.struct((_number(p["a"]) + i).alias("gid"), _text(u).alias("text")))), lambda x: x.isNotNull()),
     ))
     runs = F.filter(F.arrays_zip(group(bare, spans, 1).alias("a"), group(bare, spans, 2).alias("b"), group(bare, spans, 3).alias("u")), lambda p: F.char_length(p["u"]) <= 4)
-    ranged = F.flatten(F.transform(runs, lambda p: F.transform(F.sequence(_number(p["a"]), F.greatest(_number(p["a"]), _number(p["b"]))), lambda g: F.struct(g.alias("gid"), _text(F.lpad(F.hex(_number(p["u"]) + g - _number(p["a"])), 4, "0")).alias("text")))))
+    ranged = F.flatten(F.transform(runs, lambda p: F.transform(F.sequence(_number(p["a"]), F.greatest(_number(p["a"]), _number(p["b"]))), lambda g: F.struct(g.alias("gid"), _code_point(_number(p["u"]) + g - _number(p["a"])).alias("text")))))
     entries = df.select(*key, F.posexplode(F.concat(one, many, ranged)).alias("_ord", "_e"))
     last = entries.groupBy(*key, F.col("_e.gid").alias("gid")).agg(F.max_by("_e.text", "_ord").alias("text"))
     return last.filter("text != ''")
@@ -44,7 +53,7 @@ def parse_cmaps(df: DataFrame, cmap: str, key: list[str]) -> DataFrame:
 
 def build_cmaps(entries: DataFrame, key: list[str]) -> DataFrame:
     """(key, cmap): the entries as the single-character part of a stream, a hundred to a block."""
-    line = F.format_string("<%s> <%s>", F.lpad(F.hex("gid"), 4, "0"), F.hex(F.encode("text", "UTF-16BE")))
+    line = F.format_string("<%s> <%s>", _at_least_four(F.hex("gid")), F.hex(F.encode("text", "UTF-16BE")))
     ordered = entries.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("gid", line.alias("line")))), lambda s: s["line"]).alias("_l"))
     starts = F.sequence(F.lit(0), (F.ceil(F.size("_l") / 100) - 1).cast("int"))
     part = lambda i: F.slice("_l", i * 100 + 1, F.lit(100))

@@ -197,6 +197,16 @@ def test_cmaps_parse_build_and_patch(spark):
     assert cmaps.meaningful_differences(parsed, right, ["font"]).first().differences == 2
 
 
+def test_cmaps_keep_glyph_ids_above_ffff(spark):
+    from scriptorium.operators import cmaps
+
+    entries = spark.createDataFrame([("f", 0x41, "a"), ("f", 0xFFFF, "b"), ("f", 0x10000, "c"), ("f", 0x124F80, "d")], "font string, gid int, text string")
+    parsed = cmaps.parse_cmaps(cmaps.build_cmaps(entries, ["font"]), "cmap", ["font"])
+    assert {r.gid: r.text for r in parsed.collect()} == {0x41: "a", 0xFFFF: "b", 0x10000: "c", 0x124F80: "d"}
+    ranged = spark.createDataFrame([("f", "1 beginbfrange\n<0001> <0003> <FFFF>\nendbfrange")], "font string, cmap string")
+    assert {r.gid: r.text for r in cmaps.parse_cmaps(ranged, "cmap", ["font"]).collect()} == {1: "\uffff", 2: "\U00010000", 3: "\U00010001"}
+
+
 def test_ligatures_close(spark):
     from scriptorium.operators import cmaps
 
