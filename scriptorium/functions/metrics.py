@@ -1,4 +1,7 @@
-"""Measures of how well a transcript reads, as expressions over one text column."""
+"""Measures of how well a transcript reads, as expressions over one text column.
+
+What looks at every character is counted by batch (``batches``), so these do not go into lambdas.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import batches as B
 from . import patterns as P
 
 # fixed values: weights of the quality score
@@ -18,41 +22,15 @@ SUSPICIOUS_HIGH, SUSPICIOUS_LOW, VOWEL_POOR_HIGH, PIPES_MANY, SUSPICIOUS_PIPES =
 LEAST_LATIN, LEAST_TOKENS, FEW_DEVANAGARI = 12, 12, 20
 
 
-def is_vowel_poor(token: Column) -> Column:
-    """At least four letters, of which less than a fifth are Latin vowels."""
-    letters = P.characters(token, r"\p{L}")
-    return (letters >= 4) & (P.characters(token, "aeiouAEIOU") * 5 < letters)
-
-
 def token_counts(text: Column) -> Column:
-    """Struct of counts of the tokens of a text, by patterns over the whole of it; only consonantal tokens are looked at one by one."""
-
-    def counted(t: Column) -> Column:
-        tokens = P.occurrences(t, P.WORD)
-        return F.struct(
-            tokens.alias("tokens"),
-            P.occurrences(t, P.LATIN_WORD).alias("latin"),
-            P.occurrences(t, P.SUSPICIOUS_WORD).alias("suspicious"),
-            F.size(F.filter(F.regexp_extract_all(t, F.lit(P.CONSONANTAL_WORD), F.lit(0)), is_vowel_poor)).cast("long").alias("vowel_poor"),
-            (tokens - F.when(F.contains(t, F.lit("|")), P.occurrences(t, P.PIPE_WORD)).otherwise(F.lit(0))).alias("content"),
-            P.occurrences(t, P.SINGLE_WORD).alias("single"),
-        )
-
-    # bound to a name, so that white space is made plain once and the struct is not taken apart into six such steps
-    return F.element_at(F.transform(F.array(P.plainly_spaced(text)), counted), 1)
+    """Struct of counts of the tokens of a text: all, with Latin letters, of those suspicious and poor in vowels (at least
+    four letters, less than a fifth of them Latin vowels), and besides lone pipes all and single characters."""
+    return B.token_counts(text)
 
 
 def pipe_heavy_lines(text: Column) -> Column:
     """Lines with at least two pipes between values, enclosing ones not counted."""
-    inner = F.transform(P.lines(text), lambda x: F.regexp_replace(P.stripped(x), r"^\|+|\|+$", ""))
-    return F.when(F.contains(text, F.lit("|")), F.size(F.filter(inner, lambda x: P.characters(x, "|") >= 2))).otherwise(F.lit(0)).cast("long")
-
-
-def matra_damage(text: Column) -> Column:
-    """Doubled, orphaned and virama-preceded vowel signs."""
-    m = P.SCORE_MATRAS
-    orphans = P.characters(text, m) - P.occurrences(text, f"[{P.MATRA_BASES}][{m}]")
-    return P.occurrences(text, f"[{m}]{{2,}}") + orphans + P.occurrences(text, rf"\x{{94D}}[{m}]")
+    return B.pipe_heavy_lines(text)
 
 
 def excess(count: Column, of: Column, share: float) -> Column:
@@ -62,17 +40,18 @@ def excess(count: Column, of: Column, share: float) -> Column:
 
 def quality_score(text: Column, counts: Column) -> Column:
     """How much of a transcript is readable, less what is damaged; page anchors must be stripped first."""
+    held = B.text_counts(text)  # matra damage: doubled, orphaned and virama-preceded vowel signs
     return (
-        P.characters(text, P.DEVANAGARI) * DEVANAGARI_CREDIT
+        held["devanagari"] * DEVANAGARI_CREDIT
         + counts["tokens"]
         - counts["suspicious"] * SUSPICIOUS_COST
         - counts["vowel_poor"] * VOWEL_POOR_COST
-        - pipe_heavy_lines(text) * PIPE_LINE_COST
-        - P.occurrences(text, P.CID) * CID_COST
-        - P.characters(text, r"\x{FFFD}\x{0}") * UNDECODED_COST
-        - excess(P.characters(text, P.SPACES), F.char_length(text), SPACE_SHARE)
+        - held["pipe_lines"] * PIPE_LINE_COST
+        - held["cid"] * CID_COST
+        - held["undecoded"] * UNDECODED_COST
+        - excess(held["spaces"], held["chars"], SPACE_SHARE)
         - excess(counts["single"], counts["content"], SINGLE_SHARE) * SINGLE_COST
-        - matra_damage(text) * MATRA_COST
+        - held["matra_damage"] * MATRA_COST
     )
 
 
@@ -106,23 +85,9 @@ def wellformedness(text: Column) -> Column:
     """Struct of defect counts of Devanagari; every defect is 0 in clean text.
 
     A mark is stranded if no consonant or vowel with only marks and joiners between
-    stands to its left, so removing every such cluster leaves the stranded ones.
+    stands to its left.
     """
-    marks = P.MATRAS + P.SIGNS
-    rest = F.regexp_replace(text, F.lit(f"[{P.CONSONANTS}{P.INDEPENDENT_VOWELS}][{marks}{P.JOINERS}]*"), F.lit(""))
-    matras = P.characters(text, P.MATRAS)
-    stranded, doubled = P.characters(rest, marks), matras - P.occurrences(text, f"[{P.MATRAS}]+")
-    halant = P.occurrences(text, rf"\x{{94D}}[{P.MATRAS}]")
-    return F.struct(
-        stranded.alias("stranded"),
-        P.characters(rest, P.MATRAS).alias("stranded_matras"),
-        P.occurrences(text, f"(?:^|{P.SPACE})[{marks}]").alias("word_initial"),
-        doubled.alias("doubled"),
-        halant.alias("halant_matra"),
-        matras.alias("matras"),
-        P.characters(text, marks).alias("marks"),
-        (stranded + doubled + halant).alias("malformed"),
-    )
+    return B.wellformedness(text)
 
 
 def orphaned_matra_ratio(quality: Column) -> Column:
@@ -131,18 +96,11 @@ def orphaned_matra_ratio(quality: Column) -> Column:
 
 def text_signals(text: Column) -> Column:
     """Struct of the signals that the corpus harness records of a transcript."""
-    letters = P.characters(text, r"\p{L}")
-    devanagari = P.characters(text, r"\x{900}-\x{97F}&&\p{L}")
-    latin = P.characters(text, r"\x{0}-\x{24F}&&\p{L}")
-    q = wellformedness(text)
-    share = lambda n: F.when(letters > 0, F.round(n / letters, 4))
+    q = B.signals(text)
+    share = lambda n: F.when(q["letters"] > 0, F.round(n / q["letters"], 4))
     return F.struct(
-        F.char_length(text).cast("long").alias("chars"), letters.alias("letters"), devanagari.alias("devanagari"),
-        share(devanagari).alias("deva_frac"), share(latin).alias("latin_frac"),
-        P.characters(text, r"\x{FFFD}").alias("replacement"), P.characters(text, r"\x{E000}-\x{F8FF}").alias("pua"),
-        P.characters(text, r"\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{7F}-\x{9F}").alias("control"),
-        P.occurrences(text, r"\(cid:").alias("cid_garbage"), q["malformed"].alias("malformed"), q["stranded"].alias("stranded"),
-        q["stranded_matras"].alias("stranded_matras"), q["doubled"].alias("doubled_matras"), q["matras"].alias("matras"),
+        q["chars"].alias("chars"), q["letters"].alias("letters"), q["devanagari"].alias("devanagari"), share(q["devanagari"]).alias("deva_frac"), share(q["latin"]).alias("latin_frac"),
+        *[q[c].alias(c) for c in ("replacement", "pua", "control", "cid_garbage", "malformed", "stranded", "stranded_matras")], q["doubled"].alias("doubled_matras"), q["matras"].alias("matras"),
         F.sha2(F.encode(text, "UTF-8"), 256).alias("sha256"),
     )
 
@@ -169,35 +127,21 @@ DOUBLED_LEXEMES = (
 STEM_SUFFIXES = ("को", "मा", "ता", "ताको", "ताले", "तामा", "सँग", "सङ्ग", "हरु", "हरू", "रेट", "योजना")
 
 
+def _held(text: Column, lexemes: Sequence[str] = DOUBLED_LEXEMES, suffixes: Sequence[str] = STEM_SUFFIXES) -> Column:
+    return B.penalty(tuple(ARTIFACTS.split("|")), tuple(lexemes), tuple(suffixes))(text)
+
+
 def explained_doublets(text: Column, lexemes: Sequence[str] = DOUBLED_LEXEMES, suffixes: Sequence[str] = STEM_SUFFIXES) -> Column:
     """Doubled consonants that morphology explains, by word.
 
     A doublet is explained inside a listed lexeme, or where its second half opens a
     listed suffix after a stem of at least two characters.
     """
-    words = F.filter(F.regexp_extract_all(text, F.lit(f"[{P.DEVANAGARI}]+"), F.lit(0)), lambda w: w.rlike(DOUBLET))
-    lexeme_at = [(x, i + 1) for x in lexemes for i in range(len(x) - 1) if x[i] == x[i + 1]]
-
-    def explained(word: Column) -> Column:
-        # cut between the halves of each doublet; a piece ends where the first half does
-        pieces = F.split(F.regexp_replace(word, DOUBLET, "$1\u0000$1"), "\u0000")
-        ends = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: F.char_length(F.array_join(F.slice(pieces, 1, k), "")))
-
-        def known(end: Column) -> Column:
-            found = F.lit(False)
-            for x, k in lexeme_at:
-                found = found | ((end >= k) & (F.substring(word, end - k + 1, F.lit(len(x))) == x))
-            for s in suffixes:  # a stem has two characters at least
-                found = found | ((end >= 2) & (F.substring(word, end + 1, F.lit(len(s))) == s))
-            return found
-
-        return F.size(F.filter(ends, known))
-
-    return F.aggregate(F.transform(words, explained), F.lit(0), lambda a, n: a + n).cast("long")
+    return _held(text, lexemes, suffixes)["explained"]
 
 
 def unexplained_doublets(text: Column) -> Column:
-    return F.when(text.rlike(DOUBLET), doublets(text) - explained_doublets(text)).otherwise(F.lit(0)).cast("long")
+    return doublets(text) - explained_doublets(text)
 
 
 def has_severe_noise(text: Column) -> Column:
@@ -208,39 +152,33 @@ def has_severe_noise(text: Column) -> Column:
     return found
 
 
-def text_penalty(text: Column, unexplained_doublets: Column) -> Column:
+def _charged(held: Column, unexplained_doublets: Column) -> Column:
     return (
-        P.characters(text, r"\x{FFFD}") * REPLACEMENT_COST
-        + P.characters(text, P.PRIVATE_USE) * PRIVATE_COST
-        + P.characters(text, INVALID_SIGNS) * INVALID_SIGN_COST
-        + P.occurrences(text, PREFIX_IKAR) * PREFIX_IKAR_COST
-        + P.occurrences(text, IKAR_MATRA) * IKAR_MATRA_COST
-        + P.occurrences(text, IKAR_NASAL) * IKAR_NASAL_COST
-        + P.occurrences(text, HALANT_IKAR) * HALANT_IKAR_COST
+        held["replacement"] * REPLACEMENT_COST
+        + held["private"] * PRIVATE_COST
+        + held["invalid"] * INVALID_SIGN_COST
+        + held["prefix_ikar"] * PREFIX_IKAR_COST
+        + held["ikar_matra"] * IKAR_MATRA_COST
+        + held["ikar_nasal"] * IKAR_NASAL_COST
+        + held["halant_ikar"] * HALANT_IKAR_COST
         + unexplained_doublets * DOUBLET_COST
-        + P.occurrences(text, ARTIFACTS) * ARTIFACT_COST
+        + held["artifacts"] * ARTIFACT_COST
     )
 
 
-def doublets(text: Column) -> Column:
-    return P.occurrences(text, DOUBLET)
+def text_penalty(text: Column, unexplained_doublets: Column) -> Column:
+    return _charged(_held(text), unexplained_doublets)
 
 
-def stranded_brackets(text: Column) -> Column:
-    """Brackets between two Devanagari letters."""
-    return P.occurrences(text, rf"(?<=[{P.LETTER_GAP}])[()\[\]{{}}](?=[{P.LETTER_GAP}])")
+def doublets(text: Column) -> Column:
+    return _held(text)["doublets"]
 
 
 def validity_parts(text: Column, vocabulary: Sequence[str], attested: Sequence[str], unexplained: Column | None = None) -> Column:
     """Struct of what ``validity`` takes of each piece of a font's text; pieces end at line ends."""
-    doubled = unexplained_doublets(text) if unexplained is None else unexplained
-    bare = F.transform(P.tokens(text), lambda t: F.regexp_replace(t, r"^[\x{964}\x{965}]+|[\x{964}\x{965}]+$", ""))
-    return F.struct(
-        F.array(*[F.contains(text, F.lit(w)) for w in vocabulary]).cast("array<boolean>").alias("hits"),
-        P.characters(text, P.DEVANAGARI).alias("devanagari"), P.occurrences(text, r"[\P{Z}&&[^\s]]").alias("solid"), text_penalty(text, doubled).alias("whole"), doubled.alias("doubled"),
-        P.occurrences(text, IKAR_NASAL).alias("ikar_nasal"), stranded_brackets(text).alias("stranded"),
-        F.array(*[F.array_contains(bare, w) for w in attested]).cast("array<boolean>").alias("attested"),
-    )
+    held = B.validity(tuple(vocabulary), tuple(attested), tuple(ARTIFACTS.split("|")), DOUBLED_LEXEMES, STEM_SUFFIXES)(text)
+    doubled = held["doublets"] - held["explained"] if unexplained is None else unexplained
+    return F.struct(*[held[c].alias(c) for c in ("hits", "devanagari", "solid", "ikar_nasal", "stranded", "attested")], _charged(held, doubled).alias("whole"), doubled.alias("doubled"))
 
 
 def validity(parts: Column, vocabulary: Sequence[str], attested: Sequence[str]) -> Column:

@@ -34,14 +34,8 @@ LETTER_GAP = r"\x{900}-\x{963}\x{970}-\x{97F}"
 SUSPICIOUS = r"[\\\[\]{}$^&*_+=<>]|[A-Za-z][0-9]|[0-9][A-Za-z]"
 CID = r"\(cid:[0-9]+\)"
 
-# tokens within a text whose white space is all plain: a class of one character is much cheaper than one of all spaces
+#: tokens within a text whose white space is all plain: a class of one character is much cheaper than one of all spaces
 WORD = "[^ ]+"
-STARTS, ENDS = "(?<![^ ])", "(?![^ ])"
-LATIN_WORD = f"{STARTS}[^ A-Za-z]*+[A-Za-z]"
-SUSPICIOUS_WORD = f"{STARTS}(?=[^ A-Za-z]*+[A-Za-z])[^ ]*?(?:{SUSPICIOUS})"
-#: three letters in a row that are no Latin vowels, marks between them not counted: any token with less than a fifth of vowels has that
-CONSONANTAL_WORD = rf"{STARTS}(?=[^ A-Za-z]*+[A-Za-z])[^ ]*?(?:[\p{{L}}&&[^aeiouAEIOU]][^\p{{L}} ]*+){{3}}[^ ]*+"
-PIPE_WORD, SINGLE_WORD = rf"{STARTS}\|{ENDS}", rf"{STARTS}[^| ]{ENDS}"
 
 
 def occurrences(text: Column, pattern: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import keymaps, metrics as M, patterns as P, text as X
+from ..functions import batches as B, keymaps, metrics as M, patterns as P, text as X
 from ..operators import measure, pages, select
 from .common import KEYMAPS, KEYS, VOCABULARY, d_chars, d_collapse, d_count, d_strip, d_tokens, documents, table
 
