@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import batches as B
 from . import patterns as P
 
 ASCII_DIGITS, DEVANAGARI_DIGITS = "0123456789", "".join(chr(0x966 + i) for i in range(10))
@@ -188,26 +189,17 @@ def is_latin_cid_font(name: Column, registry: Sequence[str], symbols: Sequence[s
 
 def is_legacy_ascii(text: Column) -> Column:
     """At least 8 characters, no Devanagari, four fifths printable ASCII."""
-    n = F.char_length(text)
-    return (n >= 8) & (P.characters(text, P.DEVANAGARI) == 0) & (P.characters(text, r"\x{20}-\x{7E}") >= 0.8 * n)
+    return B.legacy_ascii(text)
 
 
 def reads_as_latin_structure(raw: Column, hits_when_decoded: Column) -> Column:
     """Prose rather than keystrokes: letters, vowels, no inner capitals, no words when decoded."""
-    solid = F.regexp_replace(raw, F.lit(P.SPACE), F.lit(""))
-    n = F.char_length(solid)
-    letters = P.characters(solid, "A-Za-z")
-    return (
-        (n >= 16) & ~solid.rlike(r"[\\\[\]{}|~^_@#$%*+=<>]") & (letters >= 0.88 * n)
-        & (P.characters(solid, "aeiouAEIOU") >= 0.30 * letters) & ~raw.rlike("[a-z][A-Z]") & (hits_when_decoded == 0)
-    )
+    return B.latin_structure(raw) & (hits_when_decoded == 0)
 
 
 def reads_as_latin_words(raw: Column, stop_words: Sequence[str]) -> Column:
     """A tenth of its words of several letters are stop words."""
-    words = F.filter(F.regexp_extract_all(F.lower(raw), F.lit("[a-z]+"), F.lit(0)), lambda w: F.char_length(w) >= 2)
-    stops = F.filter(words, lambda w: w.isin(*stop_words))
-    return (F.size(words) > 0) & (F.size(stops) * 10 >= F.size(words))
+    return B.latin_words(tuple(stop_words))(raw)
 
 
 def acronym_tokens(text: Column) -> Column:
