@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import batches as B
 from . import patterns as P
 
 Rule = tuple[str, str, str]  # kind, pattern, replacement
@@ -42,8 +43,28 @@ def decode_word(word: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
+def one_to_one(rules: Sequence[Rule]) -> dict[str, str] | None:
+    """The characters of a map that has nothing but one for one, white space left out; else null."""
+    chars = {p: r for _, p, r in rules}
+    if all(kind == "char" and len(p) == len(r) == 1 for kind, p, r in rules):
+        return {p: r for p, r in chars.items() if p not in P.SPACE_CHARACTERS}
+    return None
+
+
+def substituted(text: Column, chars: dict[str, str]) -> Column:
+    """A text with single characters in place of others; a whole text at once, so no lambda can have it."""
+    source, target = translation(chars)
+    return B.substituted(source, target)(text)
+
+
 def decode(text: Column, rules: Sequence[Rule]) -> Column:
-    """A text decoded word by word, white space kept."""
+    """A text decoded word by word, white space kept.  Words do not matter to a map of single characters, which is applied to the whole."""
+    if (chars := one_to_one(rules)) is not None:
+        return substituted(text, chars)
+    return _decode_words(text, rules)
+
+
+def _decode_words(text: Column, rules: Sequence[Rule]) -> Column:
     pieces = F.regexp_extract_all(text, F.lit(f"{P.SPACE}+|{P.TOKEN}"), F.lit(0))
     return F.array_join(F.transform(pieces, lambda w: F.when(w.rlike(f"^{P.SPACE}"), w).otherwise(decode_word(w, rules))), "")
 
@@ -84,11 +105,14 @@ def decode_tied(text: Column, maps: Sequence[Sequence[Rule]]) -> Column:
     unsure = ambiguous_characters(maps)
     if not unsure:
         return decode(text, maps[0])
+    tables = [one_to_one(rules) for rules in maps]
+    if None not in tables:  # what is not unsure, all maps read alike
+        return substituted(text, {p: r for p, r in tables[0].items() if p not in unsure})
     cls = "".join(f"\\x{{{ord(c):X}}}" for c in unsure)
     pieces = F.regexp_extract_all(text, F.lit(f"[{cls}]+|[^{cls}]+"), F.lit(0))
 
     def reading(rules: Sequence[Rule]) -> Column:
-        return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^[{cls}]"), p).otherwise(decode(p, rules))), "")
+        return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^[{cls}]"), p).otherwise(_decode_words(p, rules))), "")
 
     read = [reading(m) for m in maps]
     same = F.lit(True)

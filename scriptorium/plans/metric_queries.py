@@ -143,8 +143,7 @@ def derived_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-138: a keyboard rotation composed with a base map."""
     rules = keymaps.rotated([("char", k, v) for k, v in zip(KEYS, _DEC, strict=True)], KEYS, KEYS[3:] + KEYS[:3])
     table_ = {p: r for _, p, r in rules}
-    source, target = keymaps.translation(table_)
-    return documents(spark, sf_dir).select("doc_id", F.sha2(F.encode(F.translate("text", source, target), "UTF-8"), 256).alias("decoded_sha256"))
+    return documents(spark, sf_dir).select("doc_id", F.sha2(F.encode(keymaps.substituted(F.col("text"), table_), "UTF-8"), 256).alias("decoded_sha256"))
 
 
 DERIVED_MAP = f"SELECT doc_id, sha256(translate(translate(coalesce(text, ''), '{KEYS}', '{KEYS[3:] + KEYS[:3]}'), '{KEYS}', '{_DEC}')) AS decoded_sha256 FROM documents"
