@@ -64,6 +64,7 @@ SELECT doc_id, CASE WHEN {d_strip('text')} = '' THEN true WHEN cid >= 2 THEN tru
 # ---- best candidate -----------------------------------------------------------------------
 
 _DEC = KEYMAPS["first"]
+_FIRST = dict(zip(KEYS, _DEC, strict=True))
 _NUMERIC_TOKEN = r"(^|[\x{9}-\x{D}\x{20}])[0-9]+(\.[0-9]{1,2})?($|[\x{9}-\x{D}\x{20}])"
 
 
@@ -122,7 +123,7 @@ FROM (SELECT *, {_LATIN} AS latin FROM ({_signals_sql(_DOCS)}))"""
 
 
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).withColumn("text", F.translate("text", KEYS, _DEC))
+    return documents(spark, sf_dir).withColumn("text", keymaps.substituted(F.col("text"), _FIRST))
 
 
 _D_DECODED = f"(SELECT doc_id, translate(coalesce(text, ''), '{KEYS}', '{_DEC}') AS text FROM documents)"
