@@ -274,13 +274,13 @@ SELECT source, acronym, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc
 def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two runs of the harness over documents: raw, and decoded or normalised; each misses some files and fails on some."""
     d = documents(spark, sf_dir)
-    after_text = F.when(F.col("doc_id") % 3 == 0, F.translate("text", KEYS, _DEC)).when(F.col("doc_id") % 3 == 1, P.collapsed(F.col("text"))).otherwise(F.col("text"))
+    after_text = F.when(F.col("doc_id") % 3 == 0, keymaps.substituted(F.col("text"), _FIRST)).when(F.col("doc_id") % 3 == 1, B.collapsed(F.col("text"))).otherwise(F.col("text"))
 
     def run(df: DataFrame, text: F.Column, fails: int, wall: float) -> DataFrame:
         s = df.select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file"), F.when(F.col("doc_id") % fails == 5, "error").otherwise("ok").alias("status"), M.text_signals(text).alias("s"), (F.col("doc_id") % 100 * wall).alias("wall_s"))
         return s.select("file", "status", "s.*", "wall_s")
 
-    return run(d.filter("doc_id % 11 != 0"), F.translate("text", KEYS, _DEC), 17, 0.5), run(d.filter("doc_id % 13 != 0"), after_text, 19, 0.25)
+    return run(d.filter("doc_id % 11 != 0"), keymaps.substituted(F.col("text"), _FIRST), 17, 0.5), run(d.filter("doc_id % 13 != 0"), after_text, 19, 0.25)
 
 
 def regression_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
