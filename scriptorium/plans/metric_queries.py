@@ -71,7 +71,7 @@ _NUMERIC_TOKEN = r"(^|[\x{9}-\x{D}\x{20}])[0-9]+(\.[0-9]{1,2})?($|[\x{9}-\x{D}\x
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three transcripts of each document: as it is, decoded by a keymap, white space normalised."""
     d = documents(spark, sf_dir)
-    texts = F.array(F.col("text"), F.translate("text", KEYS, _DEC), P.collapsed(F.col("text")))
+    texts = F.array(F.col("text"), keymaps.substituted(F.col("text"), _FIRST), B.collapsed(F.col("text")))
     c = d.select("doc_id", F.posexplode(texts).alias("ord", "text"))
     return c.withColumn("safe", ~F.col("text").rlike(_NUMERIC_TOKEN))
 
