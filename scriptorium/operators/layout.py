@@ -133,10 +133,19 @@ def paragraphs(fragments: DataFrame, order: str = "ord") -> DataFrame:
     return numbered.groupBy("doc_id", "paragraph").agg(F.min("page_number").alias("page_number"), text.alias("text"))
 
 
+#: partitions for each split of an input: a task sorts about so large a part of one
+PER_SPLIT = 16
+
+
+def dealt(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Dealt by key to partitions whose number follows the input and which are not joined again, so that what a task sorts does not grow."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), PER_SPLIT * df.rdd.getNumPartitions()), *key)
+
+
 def edge_clusters(values: DataFrame, within: Sequence[str], value: str, tolerance: float = TOLERANCE) -> DataFrame:
     """(…, cluster, edge, members): values whose gap to the one before is small, as their mean."""
     w = W.partitionBy(*within).orderBy(value)
-    flagged = values.withColumn("_opens", F.coalesce((F.col(value) - F.lag(value).over(w) > tolerance).cast("int"), F.lit(0)))
+    flagged = dealt(values, within).withColumn("_opens", F.coalesce((F.col(value) - F.lag(value).over(w) > tolerance).cast("int"), F.lit(0)))
     numbered = flagged.withColumn("cluster", F.sum("_opens").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
     return numbered.groupBy(*within, "cluster").agg(F.avg(value).alias("edge"), F.count("*").alias("members"))
 
