@@ -432,3 +432,10 @@ def substitute(texts: list[str | None], source: str, target: str) -> list[str |
                 at += len(t or "")
             piece, size = [], 0
     return out
+
+
+def runs_of(text: str, characters: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of some characters in a text start, and how long they are."""
+    found = np.isin(np.frombuffer(text.encode("utf-32-le"), np.uint32), [ord(c) for c in characters])
+    turns = np.flatnonzero(np.diff(found, prepend=False, append=False))
+    return turns[::2], turns[1::2] - turns[::2]

@@ -6,16 +6,20 @@ of partitions.  Everything is dealt by document and page.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import batches as B
 from ..functions import patterns as P
 from ..functions import text as X
 
-JOIN_GAP = 0.75
+JOIN_GAP, RUNS = 0.75, 1 << 16
 
 
 def text_fragments(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,6 +85,38 @@ def unmappable_runs(chars: DataFrame, within: Sequence[str] = ("doc_id", "page",
     return numbered.groupBy(*within, "run").agg(F.min("idx").alias("first"), F.count("*").alias("length")).drop("run")
 
 
+def unmappable_runs_of_texts(texts: DataFrame, text: str, undecoded: str = "�") -> DataFrame:
+    """As ``unmappable_runs`` for whole texts: (other columns, first, length), a text's characters never dealt out.
+
+    ``undecoded`` are the characters that count.  Runs leave in batches of ``RUNS`` about, so memory is that of one text.
+    """
+    kept = [c for c in texts.columns if c != text]
+    schema = T.StructType([texts.schema[c] for c in kept] + [T.StructField("first", T.LongType()), T.StructField("length", T.LongType())])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others, rows, first, length, held = batch.select(kept), [], [], [], 0
+
+            def made() -> pa.RecordBatch:
+                of = others.take(pa.array(np.concatenate(rows)))
+                return pa.RecordBatch.from_arrays([*of.columns, pa.array(np.concatenate(first), pa.int64()), pa.array(np.concatenate(length), pa.int64())], [*kept, "first", "length"])
+
+            for i, t in enumerate(batch.column(text)):
+                at, n = B.runs_of(t.as_py() or "", undecoded)
+                if len(at):
+                    rows.append(np.full(len(at), i))
+                    first.append(at)
+                    length.append(n)
+                    held += len(at)
+                if held >= RUNS:
+                    yield made()
+                    rows, first, length, held = [], [], [], 0
+            if held:
+                yield made()
+
+    return texts.select(*kept, text).mapInArrow(dealt, schema)
+
+
 def decode_chain(text: Column, rules: Sequence[tuple[Column, Column]]) -> Column:
     """The first rule whose condition holds gives the text; else it stays as it is."""
     chain = text
