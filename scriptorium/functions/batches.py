@@ -329,7 +329,7 @@ def _alternatives(t: Texts, words: Sequence[str]) -> np.ndarray:
 PENALTY = ("replacement", "private", "invalid", "prefix_ikar", "ikar_matra", "ikar_nasal", "halant_ikar", "artifacts", "doublets", "explained")
 
 
-def _penalty(t: Texts, artifacts: Sequence[str], lexemes: Sequence[str], suffixes: Sequence[str]) -> dict[str, np.ndarray]:
+def penalty_counts(t: Texts, artifacts: Sequence[str], lexemes: Sequence[str], suffixes: Sequence[str]) -> dict[str, np.ndarray]:
     ikar, second = t.code == 0x93F, _doublets(t)
     opens = t.any("space", "edge") | (t.code == ord("("))
     return {
@@ -346,7 +346,7 @@ def penalty(artifacts: tuple[str, ...], lexemes: tuple[str, ...], suffixes: tupl
 
     @F.arrow_udf(struct_of(PENALTY))
     def told(text: pa.Array) -> pa.Array:
-        return longs(text, lambda t: _penalty(t, artifacts, lexemes, suffixes), PENALTY)
+        return longs(text, lambda t: penalty_counts(t, artifacts, lexemes, suffixes), PENALTY)
 
     return told
 
@@ -371,7 +371,7 @@ VALIDITY = (*PENALTY, "devanagari", "solid", "stranded")
 
 def _validity(t: Texts, vocabulary: Sequence[str], attested: Sequence[str], *lists: Sequence[str]) -> list[np.ndarray]:
     gap = t.any("letter_gap")
-    held = _penalty(t, *lists) | {"devanagari": t.count(t.any("devanagari")), "solid": t.lengths - t.count(t.any("blank")), "stranded": t.count(t.any("bracket") & before(gap) & after(gap))}
+    held = penalty_counts(t, *lists) | {"devanagari": t.count(t.any("devanagari")), "solid": t.lengths - t.count(t.any("blank")), "stranded": t.count(t.any("bracket") & before(gap) & after(gap))}
     return [held[n] for n in VALIDITY] + [t.count_at(t.find(w)) > 0 if w else np.ones(len(t.texts), bool) for w in vocabulary] + _attested(t, attested)
 
 

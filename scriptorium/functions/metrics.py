@@ -152,7 +152,8 @@ def has_severe_noise(text: Column) -> Column:
     return found
 
 
-def _charged(held: Column, unexplained_doublets: Column) -> Column:
+def charged(held, unexplained_doublets):  # noqa: ANN001, ANN201
+    """The penalty of what ``batches.penalty`` counts: a column's struct, or arrays by name."""
     return (
         held["replacement"] * REPLACEMENT_COST
         + held["private"] * PRIVATE_COST
@@ -167,7 +168,7 @@ def _charged(held: Column, unexplained_doublets: Column) -> Column:
 
 
 def text_penalty(text: Column, unexplained_doublets: Column) -> Column:
-    return _charged(_held(text), unexplained_doublets)
+    return charged(_held(text), unexplained_doublets)
 
 
 def doublets(text: Column) -> Column:
@@ -178,7 +179,7 @@ def validity_parts(text: Column, vocabulary: Sequence[str], attested: Sequence[s
     """Struct of what ``validity`` takes of each piece of a font's text; pieces end at line ends."""
     held = B.validity(tuple(vocabulary), tuple(attested), tuple(ARTIFACTS.split("|")), DOUBLED_LEXEMES, STEM_SUFFIXES)(text)
     doubled = held["doublets"] - held["explained"] if unexplained is None else unexplained
-    return F.struct(*[held[c].alias(c) for c in ("hits", "devanagari", "solid", "ikar_nasal", "stranded", "attested")], _charged(held, doubled).alias("whole"), doubled.alias("doubled"))
+    return F.struct(*[held[c].alias(c) for c in ("hits", "devanagari", "solid", "ikar_nasal", "stranded", "attested")], charged(held, doubled).alias("whole"), doubled.alias("doubled"))
 
 
 def validity(parts: Column, vocabulary: Sequence[str], attested: Sequence[str]) -> Column:

@@ -4,41 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import batches as B
 from ..functions import metrics as M
-from ..functions import patterns as P
 
 LINE = ("doc_id", "page_number", "block_number", "line_number")
 
 
-def penalty(text: Column) -> Column:
-    plain = F.octet_length(text) == F.char_length(text)  # ASCII has nothing that is charged
-    return F.when(plain, F.lit(0)).otherwise(M.text_penalty(text, M.unexplained_doublets(text))).cast("long")
+def charges(texts: list[str]) -> tuple[list[int], list[bool]]:
+    """The penalty of each text, and whether it holds any sign that only damage leaves."""
 
+    def measure(t: B.Texts) -> list[np.ndarray]:
+        held = B.penalty_counts(t, M.ARTIFACTS.split("|"), M.DOUBLED_LEXEMES, M.STEM_SUFFIXES)
+        severe = sum(held[c] for c in ("replacement", "private", "invalid", "prefix_ikar", "ikar_matra", "ikar_nasal", "halant_ikar")) > 0
+        return [M.charged(held, held["doublets"] - held["explained"]), severe]
 
-def better_token(a: Column, b: Column) -> Column:
-    """The token with the lower penalty; the second (repaired) one on a tie."""
-    return F.when(penalty(a) < penalty(b), a).otherwise(b)
+    cost, severe = B.by_piece(texts, measure)
+    return cost.tolist(), severe.tolist()
 
 
-def best_text(original: Column, repaired: Column) -> Column:
-    """The text of a line that reads best: repaired, original, or the better token at each place.
+def best_texts(original: list[str], repaired: list[str]) -> list[str]:
+    """For each pair the text that reads best: repaired, original, or the better token at each place (the repaired one on a tie).
 
     The last only competes if either side is noisy and both have as many tokens.  Least
-    penalty wins, then that order, then length.
+    penalty wins, then that order.
     """
-    noisy = M.has_severe_noise(original) | M.has_severe_noise(repaired)
-    tokens = F.when(noisy, F.struct(P.tokens(original).alias("a"), P.tokens(repaired).alias("b")))
-    mixed = F.when(F.size(tokens["a"]) == F.size(tokens["b"]), F.array_join(F.zip_with(tokens["a"], tokens["b"], better_token), " "))
-    key = lambda t, rank: F.struct(penalty(t).alias("penalty"), rank.alias("rank"), (-F.char_length(P.stripped(t))).alias("length"), t.alias("text"))
-    option = lambda t, rank: F.struct(t.alias("text"), F.lit(rank).alias("rank"))
-    competes = lambda o: (o["rank"] > 0) | ((o["text"] != original) & (o["text"] != repaired))
-    # bound to one name each, so that nothing is computed twice
-    options = F.transform(F.filter(F.array(option(repaired, 1), option(original, 2), option(mixed, 0)), competes), lambda o: key(o["text"], o["rank"]))
-    return F.when(original == repaired, original).otherwise(F.array_min(options)["text"])
+    n = len(original)
+    cost, severe = charges(original + repaired)
+    tokens = {}
+    for i in range(n):
+        if severe[i] or severe[n + i]:
+            a, b = original[i].split(), repaired[i].split()
+            if len(a) == len(b):
+                tokens[i] = a, b
+    words = list({w for a, b in tokens.values() for pair in zip(a, b, strict=True) if pair[0] != pair[1] for w in pair})
+    of = dict(zip(words, charges(words)[0], strict=True))
+    mixed = {i: " ".join(x if x != y and of[x] < of[y] else y for x, y in zip(a, b, strict=True)) for i, (a, b) in tokens.items()}
+    mixed = {i: t for i, t in mixed.items() if t not in (original[i], repaired[i])}
+    told = dict(zip(mixed, charges(list(mixed.values()))[0], strict=True))
+    best = [repaired[i] if cost[n + i] <= cost[i] else original[i] for i in range(n)]
+    return [mixed[i] if i in mixed and told[i] <= min(cost[i], cost[n + i]) else best[i] for i in range(n)]
+
+
+@F.arrow_udf(T.StringType())
+def _best_text(original: pa.Array, repaired: pa.Array) -> pa.Array:
+    pairs = [(i, a, b) for i, (a, b) in enumerate(zip(original.to_pylist(), repaired.to_pylist(), strict=True)) if a is not None and b is not None]
+    out = [None] * len(original)
+    for (i, _, _), t in zip(pairs, best_texts([a for _, a, _ in pairs], [b for _, _, b in pairs]), strict=True):
+        out[i] = t
+    return pa.array(out, pa.string())
+
+
+def best_text(original: Column, repaired: Column) -> Column:
+    """``best_texts`` of two columns; pairs that are equal are not looked at."""
+    differ = original != repaired
+    return F.when(original == repaired, original).otherwise(_best_text(F.when(differ, original), F.when(differ, repaired)))
 
 
 def merge_variants(original: DataFrame, repaired: DataFrame, key: Sequence[str] = LINE) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import batches as B, keymaps, metrics as M, patterns as P, text as X
+from scriptorium.operators import assemble, layout, merge, numeric
 from scriptorium.plans import catalog
 
 
@@ -72,3 +73,43 @@ def test_maps_of_single_characters_leave_white_space_and_take_whole_texts(spark)
     rules = [("char", "k", "क"), ("char", " ", "x"), ("char", "K", "ख")]
     assert column(spark, ["k k\nKK", None, ""], lambda t: keymaps.decode(t, rules)) == ["क क\nKख", None, ""]
     assert column(spark, ["k kK"], lambda t: keymaps.decode_tied(t, [rules, rules[:2] + [("char", "K", "ग")]])) == ["क कK"]
+
+
+def test_runs_of_texts_are_found_without_dealing_out_characters(spark, sf_dir, monkeypatch):
+    assert not re.findall("Window|Exchange hash", plan(catalog.queries()["unmappable_runs"](spark, sf_dir)))
+    monkeypatch.setattr(assemble, "RUNS", 2)
+    texts = spark.createDataFrame([(1, "��a�"), (2, None), (3, ""), (4, "x\U00010400�")], "doc_id long, text string").repartition(1)
+    assert {tuple(r) for r in assemble.unmappable_runs_of_texts(texts, "text").collect()} == {(1, 0, 2), (1, 3, 1), (4, 2, 1)}
+
+
+def test_merged_lines_are_judged_by_batch(spark, sf_dir):
+    assert "lambdafunction" not in plan(catalog.queries()["variant_merge"](spark, sf_dir))
+    assert merge.best_texts(["क� ख", "a", "�", "x y"], ["क ख�", "�", "�x y", "x  y"]) == ["क ख", "a", "�x y", "x  y"]
+
+
+def test_what_a_task_sorts_follows_the_splits(spark):
+    splits = spark.range(0, 100, 1, 20)
+    assert layout.dealt(splits, ["id"]).rdd.getNumPartitions() == 20 * layout.PER_SPLIT
+    assert "REPARTITION_BY_NUM" in plan(layout.edge_clusters(splits.withColumn("v", F.lit(1.0)), ["id"], "v"))
+
+
+def test_pipe_lines_compile_nothing_for_a_number(monkeypatch):
+    def refuse(*_):
+        raise AssertionError("compiled")
+
+    monkeypatch.setattr(numeric.re, "compile", refuse)
+    assert numeric.repair_pipe_line("| 12 34.5 | 12 |34 | 123 4 | 91234 |", "1234.", ["12", "34."]) == "| 12 | 34..5 | 12 | 34. | 12 | 34. | 91234 |"
+    assert numeric.repair_pipe_line("| 1 2\t३४।| 12345 |", "1234.", ["12", "34."]) == "| 12 | ३४।| 12345 |"
+
+
+def test_partitions_are_tried_part_by_part(monkeypatch):
+    class Counted:
+        n, pattern = 0, numeric._PLAUSIBLE
+
+        def match(self, text):
+            Counted.n += 1
+            return self.pattern.match(text)
+
+    monkeypatch.setattr(numeric, "_PLAUSIBLE", Counted())
+    assert numeric.least_partition(["12345.67"] * 12, [False] * 11) == list(range(1, 12))
+    assert Counted.n <= 12 * 13 / 2
