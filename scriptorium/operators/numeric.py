@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from itertools import combinations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,11 +69,10 @@ def advance_cuts(pairs: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 _PLAUSIBLE, _AMOUNT = re.compile(X.PLAUSIBLE), re.compile(AMOUNT)
+#: what every beginning of a plausible number looks like
+_OPEN = re.compile(r"^(?:[0-9,]*\.?[0-9]{0,2}|[0-9]{1,4}(?:\.[0-9]{1,4})*\.?)$")
 _CANONICAL = str.maketrans(X.DEVANAGARI_DIGITS + X.DANDA, X.ASCII_DIGITS + ".")
-
-
-def plausible(text: str) -> bool:
-    return bool(_PLAUSIBLE.match(text.translate(_CANONICAL)))
+_DIGITS, GAP = re.compile(f"[{X.ASCII_DIGITS}{X.DEVANAGARI_DIGITS}]+"), " \t|\0"
 
 
 def least_partition(segments: Sequence[str], supported: Sequence[bool]) -> list[int] | None:
@@ -83,21 +83,68 @@ def least_partition(segments: Sequence[str], supported: Sequence[bool]) -> list[
     are more than 12 segments.
     """
     n = len(segments)
-    if n > MOST_SEGMENTS:
+    if not 2 <= n <= MOST_SEGMENTS:
+        return None
+    plain = [s.translate(_CANONICAL) for s in segments]
+    hopeless = set()  # starts of which no longer part is a number either
+    # by end: parts, supported cuts (negative), ways to have as many of both, start of the last part
+    best: list[tuple[int, int, int, int] | None] = [(0, 0, 1, 0), *[None] * n]
+    for b in range(1, n + 1):
+        for a in range(b):
+            if a in hopeless or best[a] is None or b - a == n:
+                continue
+            cost, now = (best[a][0] + 1, best[a][1] - bool(a and supported[a - 1])), best[b]
+            if now and cost > now[:2]:
+                continue
+            part = "".join(plain[a:b])
+            if not _PLAUSIBLE.match(part):
+                if not _OPEN.match(part):
+                    hopeless.add(a)
+                continue
+            best[b] = (*cost, best[a][2] + (now[2] if now and cost == now[:2] else 0), a)
+    if best[n] is None or best[n][2] > 1:
         return None
-    for k in range(1, n):
-        found = [cut for cut in combinations(range(1, n), k) if all(plausible("".join(segments[a:b])) for a, b in zip((0, *cut), (*cut, n), strict=True))]
-        if found:
-            most = max(sum(supported[c - 1] for c in cut) for cut in found)
-            best = [cut for cut in found if sum(supported[c - 1] for c in cut) == most]
-            return list(best[0]) if len(best) == 1 else None
-    return None
+    cuts, at = [], best[n][3]
+    while at:
+        cuts.append(at)
+        at = best[at][3]
+    return cuts[::-1]
+
+
+def bounds(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each list starts and ends among the flattened values; a null one is empty."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    return np.concatenate([[0], ends[:-1]]), ends
+
 
+def least_partitions(segments: pa.ListArray, supported: pa.ListArray) -> list[list[int] | None]:
+    """``least_partition`` of each row.
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def minimal_partition(segments: pd.Series, supported: pd.Series) -> pd.Series:
+    Where no two neighbouring segments begin a number, every segment is a part; that is told for all rows at once.
+    """
+    values, (start, end) = segments.flatten(), bounds(segments)
+    if not pc.all(pc.string_is_ascii(values)).as_py():
+        values = pa.array([v and v.translate(_CANONICAL) for v in values.to_pylist()], pa.string())
+    # a line end may follow, as Python's $ allows
+    fits = lambda texts, pattern: pc.fill_null(pc.match_substring_regex(texts, pattern.pattern[:-1] + r"\n?\z"), False).to_numpy(zero_copy_only=False)
+    alone, pairs = fits(values, _PLAUSIBLE), np.zeros(len(values), bool)
+    if len(values) > 1:
+        pairs[:-1] = fits(pc.binary_join_element_wise(values[:-1], values[1:], ""), _OPEN)
+        pairs[end[end > start] - 1] = False
+    held = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[np.stack([start, end])], axis=0)[0].tolist()
+    out = []
+    for i, (a, b, wrong, opens) in enumerate(zip(start.tolist(), end.tolist(), held(~alone), held(pairs), strict=True)):
+        if not 2 <= b - a <= MOST_SEGMENTS or (wrong and not opens):
+            out.append(None)
+        else:
+            out.append(least_partition(values[a:b].to_pylist(), supported[i].as_py()) if opens else list(range(1, b - a)))
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def minimal_partition(segments: pa.Array, supported: pa.Array) -> pa.Array:
     """``least_partition`` over array columns."""
-    return pd.Series([least_partition(list(s), list(r)) for s, r in zip(segments, supported, strict=True)])
+    return pa.array(least_partitions(segments, supported), pa.list_(pa.int32()))
 
 
 def line_repairs(chars: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -180,23 +227,35 @@ def repair_pipe_line(line: str, merged: str, parts: Sequence[str]) -> str:
     digits = [c for c in plain if c in X.ASCII_DIGITS]
     if "|" not in line or len(digits) < 4:
         return line
-    either = "0-9" + X.DEVANAGARI_DIGITS[0] + "-" + X.DEVANAGARI_DIGITS[9]
-    gap = r"[ \t|\x00]*"
     ending = plain[max(plain.rfind(d) for d in digits) + 1 :]
-    tail = "(?:" + "".join(f"[.{X.DANDA}]" if c == "." else re.escape(c) for c in ending) + ")?"
-    found = re.compile(f"(?<![{either}])" + gap.join(f"[{d}{X.DEVANAGARI_DIGITS[int(d)]}]" for d in digits) + f"{tail}(?![{either}])")
     point = X.DANDA if X.DANDA in line else "."
-
-    def rendered(m: re.Match) -> str:
-        seen = iter(re.findall(f"[{either}]", m.group()))
-        return " | ".join("".join(next(seen) if c.translate(_CANONICAL).isdigit() else point if c in ("." + X.DANDA) else c for c in part) for part in parts)
-
-    return found.sub(rendered, line)
-
-
-@F.pandas_udf(T.StringType())
-def repaired_pipe_lines(line: pd.Series, merged: pd.Series, parts: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else repair_pipe_line(t, m, list(p)) for t, m, p in zip(line, merged, parts, strict=True)])
+    # a match takes whole groups of digits, as no digit may stand on either side of it; nothing is compiled for a number
+    groups = [(m.start(), m.end(), m.group()) for m in _DIGITS.finditer(line)]
+    wanted, canonical = "".join(digits), [g.translate(_CANONICAL) for _, _, g in groups]
+    out, at, i = [], 0, 0
+    while i < len(groups):
+        seen, k = canonical[i], i + 1
+        while len(seen) < len(wanted) and wanted.startswith(seen) and k < len(groups) and not line[groups[k - 1][1] : groups[k][0]].strip(GAP):
+            seen, k = seen + canonical[k], k + 1
+        if seen != wanted:
+            i += 1
+            continue
+        end = groups[k - 1][1]
+        tail = end + len(ending)
+        if line[end:tail].replace(X.DANDA, ".") == ending and not _DIGITS.match(line, tail):
+            end = tail
+        own = iter("".join(g for _, _, g in groups[i:k]))
+        made = ["".join(next(own) if c.translate(_CANONICAL).isdigit() else point if c in ("." + X.DANDA) else c for c in part) for part in parts]
+        out += [line[at : groups[i][0]], " | ".join(made)]
+        at, i = end, k
+    return "".join([*out, line[at:]])
+
+
+@F.arrow_udf(T.StringType())
+def repaired_pipe_lines(line: pa.Array, merged: pa.Array, parts: pa.Array) -> pa.Array:
+    values, (start, end) = parts.flatten().to_pylist(), bounds(parts)
+    rows = zip(line.to_pylist(), merged.to_pylist(), start.tolist(), end.tolist(), strict=True)
+    return pa.array([None if t is None else repair_pipe_line(t, m, values[a:b]) for t, m, a, b in rows], pa.string())
 
 
 # ---- glyph signatures -------------------------------------------------------------------

@@ -5,6 +5,7 @@ import io
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,13 @@ def test_partitions_are_tried_part_by_part(monkeypatch):
     monkeypatch.setattr(numeric, "_PLAUSIBLE", Counted())
     assert numeric.least_partition(["12345.67"] * 12, [False] * 11) == list(range(1, 12))
     assert Counted.n <= 12 * 13 / 2
+
+
+def test_partitions_of_a_batch_equal_those_of_rows():
+    rng = random.Random(8)
+    rows = [["".join(rng.choice("0123456789.,१।") for _ in range(rng.randint(1, 5))) if rng.random() < 0.5 else f"{rng.random() * 10 ** rng.randint(0, 5):.2f}" for _ in range(rng.randint(0, 14))] for _ in range(2000)]
+    rows += [None, [], ["1.25\n", "2.50"], ["1", "2"], ["12345.67"] * 12, ["12345.67"] * 13]
+    supported = [[rng.random() < 0.3 for _ in r or []] for r in rows]
+    got = numeric.least_partitions(pa.array(rows, pa.list_(pa.string())), pa.array(supported, pa.list_(pa.bool_())))
+    assert got == [None if r is None else numeric.least_partition(r, s) for r, s in zip(rows, supported, strict=True)]
+    assert got[-2:] == [list(range(1, 12)), None] and any(g and g != list(range(1, len(r))) for g, r in zip(got, rows, strict=True))
